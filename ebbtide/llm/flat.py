@@ -99,3 +99,40 @@ def shingles(h: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         step = mix(x * U(0x9E3779B97F4A7C15) + padded[at + i])
         x = np.where(i < size, step, x) if (size <= i).any() else step
     return x, off
+
+
+def ngrams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of h[i : i + k] for every i that leaves room, whatever the texts; constant work for any k."""
+    n = len(h)
+    if n < k:
+        return np.empty(0, U)
+    power, back = _powers(n)
+    total = np.empty(n + 1, U)
+    total[0] = 0
+    np.cumsum(h * power, out=total[1:])
+    return mix((total[k:] - total[: n - k + 1]) * back[: n - k + 1] + U(k))
+
+
+def sliding(x: np.ndarray, w: int, pick: np.ufunc) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over every w neighbours, by doubling."""
+    size, out = 1, x
+    while size * 2 <= w:
+        out = pick(out[:-size], out[size:])
+        size *= 2
+    return pick(out[: len(x) - w + 1], out[w - size : len(x) - size + 1]) if size < w else out
+
+
+def minimisers(h: np.ndarray, woff: np.ndarray, k: int, w: int) -> np.ndarray:
+    """Places whose k-gram is least in some window of w k-grams of one text; ties are all kept.
+
+    Any k + w - 1 words of a text hold a place, and which one depends on those words alone.
+    """
+    g = ngrams(h, k)
+    if len(g) < w:
+        return np.empty(0, np.int64)
+    low = sliding(g, w, np.minimum)
+    doc_end = np.repeat(woff[1:], np.diff(woff))
+    inside = np.arange(len(low)) + k + w - 1 <= doc_end[: len(low)]
+    low = np.where(inside, low, U(0))
+    pad = np.zeros(w - 1, U)
+    return np.flatnonzero(g == sliding(np.concatenate([pad, low, pad]), w, np.maximum))

@@ -241,3 +241,16 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, th
     out = two.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     held = F.coalesce(common.crc_part("doc_id") == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score() predicts to be good, with all their columns; no row moves between partitions."""
+    model = fit(*training_sample(docs, labels, sample_docs))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, text in flat.chunks(batch.column(place)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(model.scores(text) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -96,9 +96,9 @@ def repeated(docs: DataFrame, least: int = LEAST, num: int = 80, den: int = 100,
 
     lines = all_.where("kind = 0").groupBy("key").agg(F.min(F.struct("id", "start", "end")).alias("at"), F.any_value("bands").alias("bands"))
     lines = common.materialise(lines, "passage-lines")
-    hung = lines.select("key", F.posexplode("bands").alias("band", "b"))
-    least_key = hung.groupBy("band", "b").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("band", "b", "low")
-    met = common.connected_components(hung.join(least_key, ["band", "b"]).select(F.col("key").alias("a"), F.col("low").alias("b")))
+    hung = lines.select("key", F.explode("bands").alias("b"))
+    least_key = hung.groupBy("b").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("b", "low")
+    met = common.connected_components(hung.join(least_key, "b").select(F.col("key").alias("a"), F.col("low").alias("b")))
     inside = met.join(lines, F.col("node") == F.col("key")).select("node", "component", "at", (F.col("at.end") - F.col("at.start")).alias("n"))
     inside = common.block_pairs(inside, ["component"], "n", "node", BLOCK_ELEMENTS)
     wanted = inside.select("at.*", F.col("node"), "component", "bi", "bj").withColumnRenamed("id", "wid")
@@ -107,7 +107,10 @@ def repeated(docs: DataFrame, least: int = LEAST, num: int = 80, den: int = 100,
     links = common.clustered(sets, ["component", "bi", "bj"]).mapInArrow(lambda it: minhash.confirm(it, num, den), "a long, b long")
     comp = common.connected_components(links)
 
-    same = all_.drop("bands").join(comp, (F.col("key") == F.col("node")) & (F.col("kind") == 0), "left").withColumn("class_id", F.coalesce("component", "key")).drop("node", "component")
+    # only paragraphs are looked up: most units are pieces
+    place = ["id", "start", "end", "kind"]
+    lined = all_.where("kind = 0").join(comp, F.col("key") == F.col("node"), "left").select(*place, F.coalesce("component", "key").alias("class_id"))
+    same = lined.unionByName(all_.where("kind = 1").select(*place, F.col("key").alias("class_id")))
     spread = same.groupBy("kind", "class_id").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("high")).where("first.id < high")
     out = same.join(spread, ["kind", "class_id"]).distinct()
     return out.select(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ebbtide.llm import langid, leaks, minhash, mixing, passages, quality, suffixes, vectors
+from ebbtide.llm import chats, langid, leaks, minhash, mixing, passages, quality, suffixes, tokens, vectors
 
 
 #: Target weights of the mixture; every other source shares one weight of 1.
@@ -42,6 +43,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, TARGET)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chats.formatted(_table(spark, sf_dir, "conversations"))
+    return rows.withColumn("problems", F.array_join("problems", ","))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -55,4 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.mixed_sql(TARGET)}
+    # no text of the table is a call or a result
+    chat = """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY j) - 1 AS step, 'message' AS kind, NULL::VARCHAR AS call_id, j AS json, '' AS problems
+FROM (SELECT conv_id, turn, json_object('content', text, 'role', role)::VARCHAR AS j FROM conversations)"""
+    return {"op4_mixing": mixing.mixed_sql(TARGET), "op6_chat_format": chat}

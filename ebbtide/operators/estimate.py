@@ -35,18 +35,24 @@ def overlap(l1: Column, r1: Column, l2: Column, r2: Column) -> Column:
     return F.greatest(F.least(r1, r2) - F.greatest(l1, l2) + 1, F.lit(0).cast("long"))
 
 
-def _met(windows: DataFrame, reqs: DataFrame) -> DataFrame:
+#: Grouping by the stream first keeps the partitioning that windows have by stream.
+BY = ("stream_id", "req_id", "t0", "t1")
+
+
+def _met(windows: DataFrame, reqs: DataFrame):
+    """Requests with the windows they meet, grouped by request; one that meets none has a row of nulls."""
     w = windows.withColumnRenamed("stream_id", "w_stream")
-    return reqs.join(w, (F.col("stream_id") == F.col("w_stream")) & (F.col("time_end") >= F.col("t0")) & (F.col("time_start") <= F.col("t1"))).drop("w_stream")
+    on = (F.col("stream_id") == F.col("w_stream")) & (F.col("time_end") >= F.col("t0")) & (F.col("time_start") <= F.col("t1"))
+    return reqs.select(*BY).join(w, on, "left").groupBy(*BY)
 
 
-def _landmarks(landmarks: DataFrame, reqs: DataFrame) -> DataFrame:
-    """Requests with the landmark windows they see: those that overlap, and the first that starts after t1."""
+def _seen(base: DataFrame, reqs: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """base (requests with more columns) with the landmark windows each sees: those that overlap, and the first that starts after t1."""
     marks = landmarks.select(F.col("stream_id").alias("m_stream"), F.col("time_start").alias("m_start"), F.col("time_end").alias("m_end"), "landmarks")
-    on = reqs["stream_id"] == F.col("m_stream")
-    ceiling = reqs.join(marks.select("m_stream", "m_start"), on & (F.col("m_start") >= F.col("t1"))).groupBy("req_id").agg(F.min("m_start").alias("after"))
-    seen = reqs.join(marks, on & (F.col("m_end") >= F.col("t0"))).drop("m_stream").join(ceiling, "req_id", "left")
-    return seen.where(F.col("m_start") <= F.coalesce("after", "t1"))
+    own = F.col("stream_id") == F.col("m_stream")
+    after = reqs.select(*BY).join(marks.select("m_stream", "m_start"), own & (F.col("m_start") >= F.col("t1"))).groupBy(*BY).agg(F.min("m_start").alias("after"))
+    on = own & (F.col("m_end") >= F.col("t0")) & (F.col("m_start") <= F.coalesce("after", "t1"))
+    return base.join(after, list(BY), "left").join(marks, on, "left").drop("m_stream", "after")
 
 
 def _inside(t0: Column, t1: Column) -> Column:
@@ -56,7 +62,7 @@ def _inside(t0: Column, t1: Column) -> Column:
 def estimate(
     windows: DataFrame, reqs: DataFrame, op: str | Op, landmarks: DataFrame | None = None, confidence: float = 0.95, sd_multiplier: float = 1.0
 ) -> DataFrame:
-    """One row per request: (req_id, stream_id, value, error, lower, upper, mean, var, ci_lower, ci_upper, is_upper_bound).
+    """One row per request, whose req_id is its own: (req_id, stream_id, value, error, lower, upper, mean, var, ci_lower, ci_upper, is_upper_bound).
 
     For counts and sums value is the estimate and error the width of its interval; with confidence 1 the
     interval is the hard bounds.  Extremes take windows whole, so value bounds the true one
@@ -69,10 +75,9 @@ def estimate(
 
 def _additive(windows: DataFrame, reqs: DataFrame, op: Op, landmarks: DataFrame | None, confidence: float, sd: float) -> DataFrame:
     edge = F.struct(F.col("time_start").alias("start"), F.col("time_end").alias("end"), F.col(op.name).alias("sum"))
-    met = _met(windows, reqs).groupBy("req_id").agg(
-        F.count("*").alias("n"), F.sum(op.name).alias("total"), F.min_by(edge, F.struct("time_start", "count_start")).alias("first"), F.max_by(edge, F.struct("time_start", "count_start")).alias("last")
+    base = _met(windows, reqs).agg(
+        F.count("time_start").alias("n"), F.sum(op.name).alias("total"), F.min_by(edge, F.struct("time_start", "count_start")).alias("first"), F.max_by(edge, F.struct("time_start", "count_start")).alias("last")
     )
-    base = reqs.join(met, "req_id", "left")
     col = F.col
     none = F.lit(0).cast("long")
     names = ("first_length", "first_overlap", "last_length", "last_overlap")
@@ -81,15 +86,14 @@ def _additive(windows: DataFrame, reqs: DataFrame, op: Op, landmarks: DataFrame
     else:
         value = F.lit(1.0) if op.name == "count" else None
         marked = F.aggregate(_inside(col("t0"), col("t1")), F.lit(0.0), lambda acc, m: acc + (value if value is not None else m["value"]))
-        seen = _landmarks(landmarks, base)
         f_on, l_on = col("first.start") < col("m_end"), col("last.end") > col("m_start")
         lm = lambda a, b: overlap(col("m_start"), col("m_end"), a, b)
-        sub = seen.groupBy("req_id").agg(
+        summed = _seen(base, reqs, landmarks).groupBy(*base.columns).agg(
             F.sum(F.when(f_on, lm(col("first.start"), col("first.end")))).alias("cut_first_length"), F.sum(F.when(f_on, lm(col("t0"), col("first.end")))).alias("cut_first_overlap"),
             F.sum(F.when(l_on, lm(col("last.start"), col("last.end")))).alias("cut_last_length"), F.sum(F.when(l_on, lm(col("last.start"), col("t1")))).alias("cut_last_overlap"),
             F.sum(marked).alias("marked"),
         )
-        cuts = base.join(sub, "req_id", "left").na.fill(0, [f"cut_{x}" for x in names]).na.fill(0.0, ["marked"])
+        cuts = summed.na.fill(0, [f"cut_{x}" for x in names]).na.fill(0.0, ["marked"])
     some = F.coalesce("n", none) > 0
     pieces = cuts.select(
         "req_id", "stream_id", "marked",
@@ -133,13 +137,12 @@ def _additive(windows: DataFrame, reqs: DataFrame, op: Op, landmarks: DataFrame
 def _extreme(windows: DataFrame, reqs: DataFrame, op: Op, landmarks: DataFrame | None, confidence: float, sd: float) -> DataFrame:
     largest = op.name != "min"
     best, pick = (F.max, F.greatest) if largest else (F.min, F.least)
-    met = _met(windows, reqs).groupBy("req_id").agg(op.merge(F.col(op.name)).alias("whole"))
-    base = reqs.join(met, "req_id", "left")
+    base = _met(windows, reqs).agg(op.merge(F.col(op.name)).alias("whole"))
     if landmarks is None:
         base = base.select("*", F.lit(None).cast("double").alias("marked"))
     else:
         values = F.transform(_inside(F.col("t0"), F.col("t1")), lambda m: m["value"])
-        base = base.join(_landmarks(landmarks, reqs).groupBy("req_id").agg(best(F.array_max(values) if largest else F.array_min(values)).alias("marked")), "req_id", "left")
+        base = _seen(base, reqs, landmarks).groupBy(*base.columns).agg(best(F.array_max(values) if largest else F.array_min(values)).alias("marked"))
     value = F.coalesce(pick("whole", "marked"), F.lit(op.identity))
     error = F.when(F.col("marked").isNotNull(), 0.0).otherwise(1.0)
     nothing = F.lit(None).cast("double")

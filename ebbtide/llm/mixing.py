@@ -59,11 +59,12 @@ def mixed(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int
     hashed = F.coalesce(F.md5(F.col(doc_id).cast("string")), F.lit(""))
     d = docs.withColumns({"_g": number, "_h": hashed}).withColumn("_b", F.substring("_h", 1, DIGITS))
 
-    # how many rows of the group come before each stretch, and how many each group has: at most groups * 16^3 + 1 rows
-    sizes = d.groupBy("_g", "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_n"))
-    totals = sizes.groupBy("_g").agg(F.sum("_n").alias("_t")).groupBy(F.lit(1).alias("_one")).agg(F.map_from_entries(F.collect_list(F.struct("_g", "_t"))).alias("_totals"))
-    before = sizes.select(F.col("_g").alias("_sg"), F.col("_b").alias("_sb"), "_before", F.lit(1).alias("_one")).join(totals, "_one").drop("_one")
-    if len(w) <= 200:  # then at most 800,000 rows
+    # each group's rows: one number for every weight
+    held = {r[0]: r[1] for r in d.groupBy("_g").count().collect()}
+    # how many rows of the group come before each stretch: at most 16^3 rows for every weight
+    sizes = d.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_g").alias("_sg"), F.col("_b").alias("_sb"), (F.sum("_n").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_n")).alias("_before"))
+    if len(w) <= 100:  # then at most 410,000 rows of three small columns
         before = F.broadcast(before)
 
     row = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", doc_id)) - 1
@@ -76,8 +77,8 @@ def mixed(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int
     turn, rem = F.floor(F.col("mix_slot") / period).cast("long"), F.pmod("mix_slot", F.lit(period)).cast("int")
     position = F.pmod("_q", F.lit(block))
     for i, x in enumerate(w):
-        held = F.coalesce(F.col("_totals")[F.lit(i)], F.lit(0))
-        position = position + F.least(held, (turn * x + counts[rem][i]) * block)
+        if i in held:
+            position = position + F.least(F.lit(held[i]), (turn * x + counts[rem][i]) * block)
     d = d.withColumn("mix_position", position.cast("long"))
     group = F.when(F.col("_g") == len(w) - 1, -1).otherwise(F.col("_g")).cast("int")
     return d.select(*[d[c] for c in docs.columns], group.alias("mix_group"), "mix_block", "mix_slot", "mix_position")

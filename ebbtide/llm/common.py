@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,10 +171,16 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.nd
     return np.concatenate(frm), np.concatenate(to)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def crc_part(ident: str | Column) -> Column:
     """crc32 of the id as text, mod 4; part 2 is held out from all training."""
     return F.crc32(F.col(ident).cast("string") if isinstance(ident, str) else ident.cast("string")) % 4
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions)

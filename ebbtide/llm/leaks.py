@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm import flat
+from ebbtide.llm import common, flat
 
 Q, BUDGET = 10, 8
 #: Characters of benchmark items that one pass over the documents holds in memory; more items take more passes.
@@ -200,5 +200,6 @@ def _run(items: Items):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """docs without those that hold a benchmark item; rows with a null doc_id stay."""
-    bad = leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_leak"), "left_anti")
+    ident = common.fresh(docs, "leak_id")[0]
+    bad = leaks(docs, benchmark, **settings).select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(bad, docs["doc_id"] == bad[ident], "left_anti")

@@ -232,3 +232,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     out = sig.join(named, (sig.d1 == named.d1) & (sig.d2 == named.d2) & (sig.n == named["size"]) & sig.id.isNotNull() & (sig.n > 0), "left")
     comp_id = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame, **settings) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; rows with a null doc_id stay."""
+    ident = common.fresh(docs, "copy_id")[0]
+    gone = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[ident], "left_anti")

@@ -14,6 +14,8 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.llm import common
+
 BLOCK = 16
 #: Stretches of a source's order that are numbered apart: three hexadecimal digits of a document's hash.
 DIGITS = 3
@@ -55,33 +57,33 @@ def mixed(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int
     ahead = [[sum(1 for s in slots if s < t) for slots in place] for t in range(period)]  # blocks of each group before a slot of the period
 
     docs = docs.drop("mix_group", "mix_block", "mix_slot", "mix_position")
+    g, h, b, r, q, ahead_of = common.fresh(docs, "m_group", "m_hash", "m_stretch", "m_row", "m_number", "m_before")
     number = F.coalesce(F.create_map(*[F.lit(x) for i, k in enumerate(names[:-1]) for x in (k, i)])[F.col(source)] if weights else F.lit(None).cast("int"), F.lit(len(w) - 1))
     hashed = F.coalesce(F.md5(F.col(doc_id).cast("string")), F.lit(""))
-    d = docs.withColumns({"_g": number, "_h": hashed}).withColumn("_b", F.substring("_h", 1, DIGITS))
+    d = docs.withColumns({g: number, h: hashed}).withColumn(b, F.substring(h, 1, DIGITS))
 
     # each group's rows: one number for every weight
-    held = {r[0]: r[1] for r in d.groupBy("_g").count().collect()}
+    held = {x[0]: x[1] for x in d.groupBy(g).count().collect()}
     # how many rows of the group come before each stretch: at most 16^3 rows for every weight
-    sizes = d.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_g").alias("_sg"), F.col("_b").alias("_sb"), (F.sum("_n").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_n")).alias("_before"))
+    sizes = d.groupBy(F.col(g).alias("sg"), F.col(b).alias("sb")).agg(F.count("*").alias("n"))
+    before = sizes.select("sg", "sb", (F.sum("n").over(Window.partitionBy("sg").orderBy("sb")) - F.col("n")).alias(ahead_of))
     if len(w) <= 100:  # then at most 410,000 rows of three small columns
         before = F.broadcast(before)
 
-    row = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", doc_id)) - 1
-    d = d.withColumn("_r", row).join(before, (F.col("_g") == F.col("_sg")) & (F.col("_b") == F.col("_sb")))
-    d = d.withColumn("_q", F.col("_before") + F.col("_r"))
+    d = d.withColumn(r, F.row_number().over(Window.partitionBy(g, b).orderBy(h, doc_id)) - 1)
+    d = d.join(before, (d[g] == before["sg"]) & (d[b] == before["sb"])).withColumn(q, F.col(ahead_of) + F.col(r))
     weight, slots, counts = _array(w), _array(place), _array(ahead)
-    d = d.withColumn("mix_block", F.floor(F.col("_q") / block).cast("long"))
-    own = weight[F.col("_g")]
-    d = d.withColumn("mix_slot", F.floor(F.col("mix_block") / own).cast("long") * period + slots[F.col("_g")][F.pmod("mix_block", own).cast("int")])
+    d = d.withColumn("mix_block", F.floor(F.col(q) / block).cast("long"))
+    own = weight[F.col(g)]
+    d = d.withColumn("mix_slot", F.floor(F.col("mix_block") / own).cast("long") * period + slots[F.col(g)][F.pmod("mix_block", own).cast("int")])
     turn, rem = F.floor(F.col("mix_slot") / period).cast("long"), F.pmod("mix_slot", F.lit(period)).cast("int")
-    position = F.pmod("_q", F.lit(block))
+    position = F.pmod(q, F.lit(block))
     for i, x in enumerate(w):
         if i in held:
             position = position + F.least(F.lit(held[i]), (turn * x + counts[rem][i]) * block)
     d = d.withColumn("mix_position", position.cast("long"))
-    group = F.when(F.col("_g") == len(w) - 1, -1).otherwise(F.col("_g")).cast("int")
-    return d.select(*[d[c] for c in docs.columns], group.alias("mix_group"), "mix_block", "mix_slot", "mix_position")
+    group = F.when(F.col(g) == len(w) - 1, -1).otherwise(F.col(g)).cast("int")
+    return d.select(*[docs[c] for c in docs.columns], group.alias("mix_group"), "mix_block", "mix_slot", "mix_position")
 
 
 def _array(x: list) -> Column:

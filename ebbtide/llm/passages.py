@@ -157,7 +157,8 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
 
     Other columns stay as they were; rows that share a doc_id are cut alike, as far as they have the words.
     """
-    gone = repeated(docs, **settings).where("not kept").groupBy(F.col("doc_id").alias("_gone")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    hit = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left").select(*[docs[c] for c in docs.columns], "_spans")
+    ident, spans = common.fresh(docs, "gone_id", "gone_spans")
+    gone = repeated(docs, **settings).where("not kept").groupBy(F.col("doc_id").alias(ident)).agg(F.collect_list(F.struct("start", "end")).alias(spans))
+    hit = docs.join(gone, docs["doc_id"] == gone[ident], "left").drop(ident)
     place = docs.columns.index("text")
     return hit.mapInArrow(lambda it: _cut(it, place), docs.schema)

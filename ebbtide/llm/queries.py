@@ -27,7 +27,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated(_table(spark, sf_dir, "documents"))
+    return suffixes.repeated(_table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_WORDS = r"""w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents)"""
+_REACH = """reach(node, other) AS (SELECT id, id FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other), comp AS (SELECT node, min(other) component FROM reach GROUP BY node)"""
+
+_NEAR = f"""WITH RECURSIVE {_WORDS},
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2])
+   WHEN len(ws) > 0 THEN [array_to_string(ws, chr(1))] END) sh FROM w),
+ n AS (SELECT d.doc_id, count(s.sh) n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+ p AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM s x JOIN s y USING (sh) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+ nodes AS (SELECT doc_id id FROM n), {_REACH}
+SELECT doc_id, n AS n_shingles, component AS component_id, doc_id = component AS kept FROM n JOIN comp ON node = doc_id"""
+
+_VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings),
+ ok AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) size FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ links AS (SELECT x.vec_id a, y.vec_id b FROM ok x JOIN ok y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+   WHERE x.size > 0 AND y.size > 0 AND list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.93),
+ nodes AS (SELECT vec_id id FROM v), {_REACH}, n AS (SELECT a, count(*) n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, vec_id = component AS kept FROM v JOIN comp ON node = vec_id LEFT JOIN n ON a = vec_id"""
+
+_REPEATED = f"""WITH {_WORDS},
+ g AS (SELECT doc_id, unnest(range(0, len(ws) - 49)) i, unnest(list_transform(range(1, len(ws) - 48), lambda k: md5(array_to_string(list_slice(ws, k, k + 49), chr(1))))) h FROM w WHERE len(ws) >= 50),
+ many AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+ r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 50 THEN 0 ELSE 1 END fresh FROM g JOIN many USING (h) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) run FROM r)
+SELECT doc_id, min(i) AS start, max(i) + 50 AS "end", max(i) + 50 - min(i) AS n_words FROM k GROUP BY doc_id, run"""
+
+
 def oracle_sql() -> dict[str, str]:
     # no text of the table is a call or a result
     chat = """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY j) - 1 AS step, 'message' AS kind, NULL::VARCHAR AS call_id, j AS json, '' AS problems
 FROM (SELECT conv_id, turn, json_object('content', text, 'role', role)::VARCHAR AS j FROM conversations)"""
-    return {"op4_mixing": mixing.mixed_sql(TARGET), "op6_chat_format": chat}
+    return {
+        "op1_minhash_near_dedup": _NEAR, "op3_suffix_dedup": _REPEATED, "op4_mixing": mixing.mixed_sql(TARGET), "op6_chat_format": chat, "op7_embedding_near_dedup": _VECTORS,
+    }

@@ -336,7 +336,7 @@ def test_schedule_stays_within_one_block(weights):
 
 def test_mixing(spark):
     rows = [(i, "t", "en", "a" if i < 600 else "b" if i < 800 else "c" if i < 850 else None) for i in range(1000)]
-    docs = make(spark, rows).withColumns({"_h": F.lit(1), "mix_slot": F.lit("old"), "q": F.lit(2)}).repartition(5)
+    docs = make(spark, rows).withColumns({"m_hash": F.lit(1), "mix_slot": F.lit("old"), "sg": F.lit(2)}).repartition(5)
     got = mixing.mixed(docs, {"a": 3, "b": 2}, rest=1, block=4).orderBy("mix_position").collect()
     assert [r.mix_position for r in got] == list(range(1000)) and {r.doc_id for r in got} == set(range(1000))
     assert {(r.source, r.mix_group) for r in got} == {("a", 0), ("b", 1), ("c", -1), (None, -1)}

@@ -20,6 +20,7 @@ HEADLINE = (
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    from ebbtide import ship
     from ebbtide.queries import queries
 
     d, cpus, runs = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
@@ -28,6 +29,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     found, took = queries(), {}
     for name in HEADLINE:
         times = []

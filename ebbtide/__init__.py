@@ -1 +1,21 @@
 """Time-decayed summaries of numeric streams, expressed as Spark DataFrames."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Gives this package to the session's Python workers, wherever they run; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_ebbtide_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ebbtide-")) / "ebbtide.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._ebbtide_shipped = True

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import common, flat
 
-#: The bounds of the training sample: documents of either label, and lines of one of them.
-SAMPLE_DOCS, SAMPLE_LINES = 3000, 400
+#: The bounds of the training sample: documents, characters of one (longer ones aren't drawn), and lines of one.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LINES = 3000, 100_000, 400
 _CLASSES = [b"#$%&*|<>=~^@\\{}[]_+/", b"!", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"|", bytes(range(128, 256)), b".,;:", bytes(range(97, 123))]
 _LUT = np.zeros((len(_CLASSES), 256), np.uint8)
 for _i, _c in enumerate(_CLASSES):
@@ -218,7 +218,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS
     known = known.groupBy(F.col("doc_id").alias("labelled")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     known = known.orderBy(F.xxhash64(F.lit("quality"), "labelled"), "labelled").limit(limit)
     both = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))  # at most `limit` pairs of numbers
-    rows = both.where("text is not null").orderBy("doc_id").limit(limit).select("text", "quality").collect()
+    rows = both.where(F.length("text") <= SAMPLE_CHARS).orderBy("doc_id").limit(limit).select("text", "quality").collect()
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
 
 

@@ -41,12 +41,13 @@ def chosen(ops: Seq[str | Op]) -> list[Op]:
     return [OPS[x] if isinstance(x, str) else x for x in ops]
 
 
-def summarize(numbered: DataFrame, seq: Sequence = Exponential(2.0), ops: Seq[str | Op] = DEFAULT) -> DataFrame:
+def summarize(numbered: DataFrame, seq: Sequence = Exponential(2.0), ops: Seq[str | Op] = DEFAULT, buffer: int = 0) -> DataFrame:
     """Windows of elements with count markers: (stream_id, time_start, time_end, count_start, count_end, ops...).
 
-    A null value counts in the spans and in no operator.
+    A null value counts in the spans and in no operator.  With a buffer, the layout is that of elements which come in
+    buffers of at most that size, each cut into windows largest first: fewer windows, no other sums.
     """
-    keyed, key = with_window(numbered, seq)
+    keyed, key = with_window(numbered, seq, buffer=buffer)
     return keyed.groupBy("stream_id", *key).agg(
         F.min("ts").alias("time_start"), F.max("ts").alias("time_end"), F.min("c").alias("count_start"), F.max("c").alias("count_end"),
         *[F.coalesce(op.apply(F.col("value")), F.lit(op.identity)).alias(op.name) for op in chosen(ops)],

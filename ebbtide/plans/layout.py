@@ -92,8 +92,8 @@ class Layout:
         self.last: int | None = None
         self.n = 0
         for lo, hi in spans:
-            self._push(lo, hi)
             self.n = hi + 1
+            self._push(lo, hi)
 
     def _push(self, lo: int, hi: int) -> None:
         self.end[lo] = hi
@@ -105,15 +105,15 @@ class Layout:
     def _schedule(self, w: int) -> None:
         s = self._succ.get(w)
         if s is not None:
-            marker = self.planner.first_marker(self.end[s] - w + 1)
-            if marker is not None:
-                heapq.heappush(self._due, (marker + self.end[s] + 1, w, self.end[s]))
+            due = self.planner.first_containing_time(w, self.end[s], self.n)
+            if due is not None:
+                heapq.heappush(self._due, (due, w, self.end[s]))
 
-    def append(self) -> list[tuple[int, int]]:
-        """Adds one element; returns the pairs (kept, absorbed) of window starts that merged, in order."""
+    def append(self, size: int = 1) -> list[tuple[int, int]]:
+        """Adds a window of that many elements; returns the pairs (kept, absorbed) of window starts that merged, in order."""
         c = self.n
-        self.n += 1
-        self._push(c, c)
+        self.n += size
+        self._push(c, self.n - 1)
         merged = []
         while self._due and self._due[0][0] <= self.n:
             _, w, end = heapq.heappop(self._due)
@@ -134,17 +134,46 @@ class Layout:
                 self._schedule(self._pred[w])
         return merged
 
+    def copy(self) -> Layout:
+        other = Layout(self.planner)
+        other.end, other._succ, other._pred = dict(self.end), dict(self._succ), dict(self._pred)
+        other._due, other.last, other.n = list(self._due), self.last, self.n
+        return other
+
     def spans(self) -> list[tuple[int, int]]:
         return sorted(self.end.items())
 
 
-def layouts(seq: Sequence, counts: Iterable[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+def buffered_spans(seq: Sequence, n: int, buffer: int) -> list[tuple[int, int]]:
+    """Windows of n elements as they come from a buffer of at most that size: each full buffer is cut largest first.
+
+    A buffer holds as many leading target windows as fit; what is left at the end is cut the same way, and
+    then element by element.
+    """
+    planner = Planner(seq)
+    full = planner.cut(buffer)
+    out, at = [], 0
+    for size in [*(full * (n // sum(full)) if full else []), *planner.cut(n % sum(full) if full else n)]:
+        out.append((at, at + size - 1))
+        at += size
+    return out + [(c, c) for c in range(at, n)]
+
+
+def layouts(seq: Sequence, counts: Iterable[int], buffer: int = 0) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(n, spans) for each distinct n, all from one run up to the largest."""
-    run = Layout(Planner(seq))
+    planner = Planner(seq)
+    run, full = Layout(planner), planner.cut(buffer) if buffer else [1]
     for n in sorted({int(x) for x in counts if x and x > 0}):
-        while run.n < n:
-            run.append()
-        yield n, run.spans()
+        while full and run.n + sum(full) <= n:
+            for size in full:
+                run.append(size)
+        last = run
+        if run.n < n:  # an unfinished buffer is cut as far as it goes
+            last = run.copy()
+            rest = n - last.n
+            for size in [*planner.cut(rest), *[1] * (rest - sum(planner.cut(rest)))]:
+                last.append(size)
+        yield n, last.spans()
 
 
 def exp2_key(c: Column, n: Column) -> tuple[Column, Column]:
@@ -163,25 +192,25 @@ def exp2_key(c: Column, n: Column) -> tuple[Column, Column]:
     return j, F.call_function("shiftright", age - begin(j), j)
 
 
-def layout_frame(spark: SparkSession, seq: Sequence, counts: Iterable[int]) -> DataFrame:
+def layout_frame(spark: SparkSession, seq: Sequence, counts: Iterable[int], buffer: int = 0) -> DataFrame:
     """(n, count_start, count_end) of the layouts for the given numbers of elements."""
     schema = T.StructType([T.StructField(x, T.LongType(), False) for x in ("n", "count_start", "count_end")])
-    rows = [(n, lo, hi) for n, spans in layouts(seq, counts) for lo, hi in spans]
+    rows = [(n, lo, hi) for n, spans in layouts(seq, counts, buffer) for lo, hi in spans]
     return spark.createDataFrame(rows, schema)
 
 
-def with_window(df: DataFrame, seq: Sequence, stream: str = "stream_id", c: str = "c", n: str = "n", gaps: bool = False) -> tuple[DataFrame, list[str]]:
+def with_window(df: DataFrame, seq: Sequence, stream: str = "stream_id", c: str = "c", n: str = "n", gaps: bool = False, buffer: int = 0) -> tuple[DataFrame, list[str]]:
     """df with columns that together name each row's window, and those columns' names.
 
     Base 2 takes the closed form.  Otherwise the distinct numbers of elements are planned on the driver
     and window starts are joined by (n, count) and carried forward along the stream.  With gaps (windows
     that were deleted) they are joined by range instead.
     """
-    if isinstance(seq, Exponential) and seq.base == 2.0:
+    if isinstance(seq, Exponential) and seq.base == 2.0 and not buffer:
         j, m = exp2_key(F.col(c), F.col(n))
         return df.withColumns({"w_level": j, "w_place": m}), ["w_level", "w_place"]
     counts = [r[0] for r in df.select(n).distinct().collect()]  # sizes of streams, not data
-    plan = layout_frame(df.sparkSession, seq, counts).select(F.col("n").alias("l_n"), F.col("count_start").alias("w_start"), F.col("count_end").alias("l_end"))
+    plan = layout_frame(df.sparkSession, seq, counts, buffer).select(F.col("n").alias("l_n"), F.col("count_start").alias("w_start"), F.col("count_end").alias("l_end"))
     if gaps:
         inside = (F.col(n) == F.col("l_n")) & F.col(c).between(F.col("w_start"), F.col("l_end"))
         return df.join(plan, inside).drop("l_n", "l_end"), ["w_start"]

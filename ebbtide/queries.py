@@ -156,6 +156,16 @@ def q_exp15_layout(spark, d):
     return summarize.window_sizes(summarize.summarize(numbered(spark, d), EXP15))
 
 
+def q_buffered_layout(spark, d):
+    """Layouts of elements that come in buffers of 32."""
+    return summarize.window_sizes(summarize.summarize(numbered(spark, d), buffer=32))
+
+
+def q_buffered_full_range(spark, d):
+    w = summarize.summarize(numbered(spark, d), POWER, buffer=32)
+    return estimate.estimate(w, reqs(spark, d, 0, 2**52), "sum").select("stream_id", r4("value").alias("value"), r4("error").alias("error"))
+
+
 def q_min_estimate(spark, d):
     w = summarize.summarize(numbered(spark, d), ops=("min",))
     return estimate.estimate(w, reqs(spark, d), "min").select("stream_id", r4("value").alias("value"), "error", "is_upper_bound")
@@ -353,6 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "exp15_full_range": _full_sql("count(*)::DOUBLE"),
         "sum_full_range": _full_sql("sum(value)"),
         "power_full_range": _full_sql("sum(value)"),
+        "buffered_full_range": _full_sql("sum(value)"),
         "max_full_range": _full_sql("max(value)", "1.0"),
         "min_estimate": f"{_W}, q AS (SELECT DISTINCT stream_id FROM e), a AS (SELECT stream_id, min(mn) m FROM w WHERE time_end >= {T0} AND time_start <= {T1} GROUP BY 1) SELECT stream_id, round(coalesce(m, 1.7976931348623157e308), 4) AS value, 1.0::DOUBLE AS error, false AS is_upper_bound FROM q LEFT JOIN a USING (stream_id)",
         "max_estimate": landmark_max,

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ebbtide.plans.layout import Layout, Planner, exp2_key, layouts
+from ebbtide.plans.layout import Layout, Planner, buffered_spans, exp2_key, layouts
 from ebbtide.plans.sequences import Exponential, Power, from_json, to_json
 
 EXP2 = {1: "1", 3: "2 1", 6: "2 2 1 1", 7: "4 2 1", 15: "8 4 2 1", 22: "8 4 4 2 2 1 1", 31: "16 8 4 2 1"}
@@ -25,6 +25,27 @@ def test_window_counts():
     assert {n: len(w) for n, w in layouts(Exponential(2.0), [66, 90, 100, 1000, 5000, 10000])} == {66: 8, 90: 10, 100: 9, 1000: 15, 5000: 17, 10000: 18}
 
 
+@pytest.mark.parametrize(("seq", "n", "once", "twice"), [
+    (Power(1, 1, 10, 1), 5000, 442, 598), (Power(1, 1, 10, 1), 10000, 598, 910), (Exponential(2.0), 5000, 16, 18), (Exponential(2.0), 10000, 18, 20), (Exponential(1.5), 10000, 33, 35),
+])
+def test_windows_kept_by_buffered_ingest(seq, n, once, twice):
+    """n elements through a buffer of 32, then, after a flush, n more."""
+    run = Layout(Planner(seq))
+    for kept in (once, twice):
+        for lo, hi in buffered_spans(seq, n, 32):
+            run.append(hi - lo + 1)
+        assert len(run.spans()) == kept
+    assert len(dict(layouts(seq, [n], buffer=32))[n]) == once
+
+
+def test_buffers_are_cut_largest_first():
+    four = Power(1, 1, 1, 2)  # lengths 2, 4, 6, 8
+    sizes = lambda n, b: [y - x + 1 for x, y in buffered_spans(four, n, b)]
+    assert sizes(20, 20) == [8, 6, 4, 2] and sizes(30, 20) == [8, 6, 4, 2, 4, 2, 1, 1, 1, 1]
+    both = dict(layouts(four, [7, 20, 33, 60], buffer=20))
+    assert all(dict(layouts(four, [n], buffer=20))[n] == both[n] for n in both)
+
+
 def test_first_containing_time():
     p = Planner(Exponential(2.0))
     assert [p.first_containing_time(*x) for x in ((98, 99, 100), (96, 99, 100), (92, 99, 100), (84, 99, 100), (80, 100, 200))] == [101, 103, 107, 115, 200]

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ebbtide.llm import common, flat
 
 TREES, DEPTH, FIRST_DEPTH, CROWD = 16, 8, 2, 2048
-#: Of 128 sketch values of 2 bits, those that agree: 113.6 expected at similarity 0.85, standard deviation 3.6.
-SCREEN = 97
+#: Of 128 sketch values of 2 bits, how many must agree: 113.6 are expected at similarity 0.85, fewer than 91 with a chance of 1 in 10^8.
+SCREEN = 91
 #: Elements of shingle sets in one block of a heavy component.
 BLOCK_ELEMENTS = 1_500_000
 #: Rows of a region that may wait for its end; a longer one is cut, its last row repeated.

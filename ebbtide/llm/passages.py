@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm import common, flat, minhash
@@ -23,6 +23,7 @@ from ebbtide.llm import common, flat, minhash
 LEAST, SHINGLE, BANDS = 20, 5, 7
 #: A piece begins at a minimiser of 28 4-grams: any 51 words hold a whole piece of 20.
 K, W = 4, 28
+STEP = K + W
 BLOCK_ELEMENTS = 1_500_000
 _rng = np.random.Generator(np.random.PCG64(4242))
 _A = _rng.integers(1, 2**63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -86,7 +87,8 @@ def repeated(docs: DataFrame, least: int = LEAST, num: int = 80, den: int = 100,
     """(doc_id, start, end, kind, class_id, first_doc_id, kept): units of classes that span several documents.
 
     Words are the runs of other characters than white space, A-Z lower-cased; start and end count words, end is
-    exclusive.  kind is `paragraph` or `piece`.  kept is true for the class's first unit, by (doc_id, start).
+    exclusive.  kind is `paragraph` or `passage`.  kept is true for the class's first unit, by (doc_id, start); a passage
+    and the stretch of the first document that holds the same words are a class of their own.
     Near-copies are paragraphs with den * |x & y| >= num * |x | y| for their sets of five-word shingles,
     linked directly or over others.  Null or empty texts and null ids have no units; rows that repeat are one.
     """
@@ -111,12 +113,62 @@ def repeated(docs: DataFrame, least: int = LEAST, num: int = 80, den: int = 100,
     place = ["id", "start", "end", "kind"]
     lined = all_.where("kind = 0").join(comp, F.col("key") == F.col("node"), "left").select(*place, F.coalesce("component", "key").alias("class_id"))
     same = lined.unionByName(all_.where("kind = 1").select(*place, F.col("key").alias("class_id")))
-    spread = same.groupBy("kind", "class_id").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("high")).where("first.id < high")
+    spread = same.groupBy("kind", "class_id").agg(F.min(F.struct("id", "start", "end")).alias("first"), F.max("id").alias("high")).where("first.id < high")
     out = same.join(spread, ["kind", "class_id"]).distinct()
-    return out.select(
-        F.col("id").alias("doc_id"), "start", "end", F.when(F.col("kind") == 0, "paragraph").otherwise("piece").alias("kind"), "class_id",
-        F.col("first.id").alias("first_doc_id"), ((F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))).alias("kept"),
-    )
+    own = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
+    shown = ["doc_id", "start", "end", "kind", "class_id", "first_doc_id", "kept"]
+    lined = out.where("kind = 0").select(F.col("id").alias("doc_id"), "start", "end", F.lit("paragraph").alias("kind"), "class_id", F.col("first.id").alias("first_doc_id"), own.alias("kept"))
+    gone = out.where(~own & (F.col("kind") == 1)).select("id", "start", "end", F.col("first.id").alias("fid"), (F.col("start") - F.col("first.start")).alias("diag"))
+    runs = extended(two, gone).withColumn("class_id", F.xxhash64("fid", F.col("start") - F.col("diag"), F.col("end") - F.col("diag"), F.lit("passage")))
+    later = runs.select(F.col("id").alias("doc_id"), "start", "end", F.lit("passage").alias("kind"), "class_id", F.col("fid").alias("first_doc_id"), F.lit(False).alias("kept"))
+    first = runs.select(F.col("fid").alias("doc_id"), (F.col("start") - F.col("diag")).alias("start"), (F.col("end") - F.col("diag")).alias("end"), F.lit("passage").alias("kind"), "class_id", F.col("fid").alias("first_doc_id"), F.lit(True).alias("kept"))
+    return lined.unionByName(later).unionByName(first.distinct()).select(*shown)
+
+
+def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(wid, text, asked: [(pos, side)]) to (wid, pos, side, near): 32-bit hashes of STEP words, from pos on (side 1) or before it and backwards (side 0); 0 beyond the text."""
+    for batch in batches:
+        for lo, hi, text in flat.chunks(batch.column(1)):
+            h, _, _, woff = flat.words(*flat.span(text))
+            w = np.append(np.maximum((h >> np.uint64(33)).astype(np.int32), 1), np.int32(0))
+            asked = batch.column(2).slice(lo, hi - lo)
+            item, wid = asked.flatten(), batch.column(0).to_numpy()[lo:hi]
+            pos, side = item.field(0).to_numpy(), item.field(1).to_numpy()
+            doc = np.repeat(np.arange(hi - lo), np.diff(np.asarray(asked.offsets)))
+            for i in range(0, len(pos), 50_000):
+                d, p, r = doc[i : i + 50_000], pos[i : i + 50_000], side[i : i + 50_000]
+                at = (woff[d] + p)[:, None]
+                x = np.where((r == 0)[:, None], at - 1 - np.arange(STEP), at + np.arange(STEP))
+                near = w[np.where((x >= woff[d][:, None]) & (x < woff[d + 1][:, None]), x, len(h))]
+                offsets = pa.array(np.arange(len(d) + 1, dtype=np.int32) * STEP)
+                yield pa.RecordBatch.from_arrays([pa.array(wid[d]), pa.array(p), pa.array(r), pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))], names=["wid", "pos", "side", "near"])
+
+
+def extended(two: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Passages (id, start, end, fid, diag) of pieces (id, start, end, fid, diag) whose partner is diag words earlier in document fid.
+
+    Pieces of one partner and diagonal that overlap or touch are one run.  The places of a passage's pieces are at most STEP
+    words from one another and from its ends, so a run that goes on by up to STEP words each way reaches the end or the next run.
+    What stands around a place is fetched once, however many runs end there.
+    """
+    order = Window.partitionBy("id", "fid", "diag").orderBy("start")
+    fresh = F.coalesce(F.col("start") > F.lag("end").over(order), F.lit(True)).cast("int")
+    runs = pieces.distinct().withColumn("fresh", fresh).withColumn("nth", F.sum("fresh").over(order))
+    runs = common.materialise(runs.groupBy("id", "fid", "diag", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("nth"), "passage-runs")
+    side = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    ends = runs.select("*", side).withColumn("pos", F.when(F.col("side") == 0, F.col("start")).otherwise(F.col("end"))).withColumn("fpos", F.col("pos") - F.col("diag"))
+    asked = ends.select(F.col("id").alias("wid"), "pos", "side").unionByName(ends.select(F.col("fid").alias("wid"), F.col("fpos").alias("pos"), "side")).distinct()
+    asked = asked.groupBy("wid").agg(F.collect_list(F.struct("pos", "side")).alias("asked"))  # two for every word of a text at most
+    near = two.join(asked, F.col("id") == F.col("wid")).select("wid", "text", "asked").mapInArrow(around, "wid long, pos int, side int, near array<int>")
+    near = common.materialise(near.dropDuplicates(["wid", "pos", "side"]), "passage-around")
+    mine = near.select(F.col("wid").alias("id"), "pos", "side", F.col("near").alias("mine"))
+    theirs = near.select(F.col("wid").alias("fid"), F.col("pos").alias("fpos"), "side", F.col("near").alias("theirs"))
+    both = ends.join(mine, ["id", "pos", "side"]).join(theirs, ["fid", "fpos", "side"])
+    differs = F.array_position(F.zip_with("mine", "theirs", lambda x, y: (x != y) | (x == 0)), True)
+    more = both.select("id", "fid", "diag", "start", "end", "side", F.when(differs == 0, F.lit(STEP)).otherwise(differs - 1).cast("int").alias("n"))
+    of = lambda k: F.max(F.when(F.col("side") == k, F.col("n")))
+    found = more.groupBy("id", "fid", "diag", "start", "end").agg(of(0).alias("l"), of(1).alias("r"))
+    return found.select("id", "fid", "diag", (F.col("start") - F.col("l")).alias("start"), (F.col("end") + F.col("r")).alias("end"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:

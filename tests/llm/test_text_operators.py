@@ -230,7 +230,11 @@ def test_passages(spark, docs, rows):
     by = collections.defaultdict(list)
     for r in found:
         by[r.kind, r.class_id].append(r)
-    assert all(sum(r.kept for r in v) == 1 and len({r.doc_id for r in v}) > 1 for v in by.values())
+    assert all(sum(r.kept for r in v) == 1 and (len({r.doc_id for r in v}) > 1 or k[0] == "passage") for k, v in by.items())
+    text = {r[0]: words(r[1]) for r in rows}
+    for (kind, _), v in by.items():
+        if kind == "passage":
+            assert len({tuple(text[r.doc_id][r.start : r.end]) for r in v}) == 1
 
 
 def test_near_paragraphs_against_brute_force(spark):
@@ -262,6 +266,8 @@ def test_cutting_passages(spark, docs, rows):
     kept = out.collect()
     left = coverage([(r.doc_id, r.text) for r in kept if r.doc_id is not None], 51)
     assert not left
+    spliced = [(r.doc_id, r.text) for r in kept if r.doc_id in range(60, 70)]
+    assert len(spliced) == 10 and not coverage(spliced, 4)  # to the last word
     text = {r[0]: r[1] for r in rows}
     for r in kept:
         if r.doc_id in range(60):

@@ -120,9 +120,10 @@ def repeated(docs: DataFrame, least: int = LEAST, num: int = 80, den: int = 100,
     lined = out.where("kind = 0").select(F.col("id").alias("doc_id"), "start", "end", F.lit("paragraph").alias("kind"), "class_id", F.col("first.id").alias("first_doc_id"), own.alias("kept"))
     gone = out.where(~own & (F.col("kind") == 1)).select("id", "start", "end", F.col("first.id").alias("fid"), (F.col("start") - F.col("first.start")).alias("diag"))
     runs = extended(two, gone).withColumn("class_id", F.xxhash64("fid", F.col("start") - F.col("diag"), F.col("end") - F.col("diag"), F.lit("passage")))
-    later = runs.select(F.col("id").alias("doc_id"), "start", "end", F.lit("passage").alias("kind"), "class_id", F.col("fid").alias("first_doc_id"), F.lit(False).alias("kept"))
-    first = runs.select(F.col("fid").alias("doc_id"), (F.col("start") - F.col("diag")).alias("start"), (F.col("end") - F.col("diag")).alias("end"), F.lit("passage").alias("kind"), "class_id", F.col("fid").alias("first_doc_id"), F.lit(True).alias("kept"))
-    return lined.unionByName(later).unionByName(first.distinct()).select(*shown)
+    place = lambda doc, back, kept: F.struct(F.col(doc).alias("doc_id"), (F.col("start") - back).alias("start"), (F.col("end") - back).alias("end"), F.lit(kept).alias("kept"))
+    both = F.inline(F.array(place("id", F.lit(0), False), place("fid", F.col("diag"), True)))
+    found = runs.select("class_id", "fid", both).withColumns({"kind": F.lit("passage"), "first_doc_id": F.col("fid")}).select(*shown).distinct()
+    return lined.unionByName(found)
 
 
 def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,16 @@ def _lines(data: np.ndarray, off: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(s) else [], len(s)).astype(np.int64)
 
 
+def _thinned(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Of neighbouring places with equal words (one word over and over) the first, the last and every W-th: each window keeps one."""
+    if len(p) < 2:
+        return p
+    g = flat.ngrams(h, K)[p]
+    new = np.append(True, (p[1:] != p[:-1] + 1) | (g[1:] != g[:-1]))
+    start = p[new][np.cumsum(new) - 1]
+    return p[((p - start) % W == 0) | np.append(new[1:], True)]
+
+
 def units(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, start, end, kind, key, bands); start and end count words, kind is 0 for paragraphs and 1 for pieces."""
     for batch in batches:
@@ -54,6 +64,7 @@ def units(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             band = flat.mix(low[0::2] * np.uint64(3) + flat.mix(low[1::2]) + np.arange(BANDS, dtype=np.uint64)[:, None]).T
             long = np.flatnonzero(n >= least)
             p = flat.minimisers(h, woff, K, W)
+            p = _thinned(h, p)
             p = p[p + least <= woff[np.searchsorted(woff, p, "right")]] if len(p) else p
             start, end = np.concatenate([loff[:-1][long], p]), np.concatenate([loff[1:][long], p + least])
             doc = np.searchsorted(woff, start, "right") - 1
@@ -90,7 +101,8 @@ def repeated(docs: DataFrame, least: int = LEAST, num: int = 80, den: int = 100,
     exclusive.  kind is `paragraph` or `passage`.  kept is true for the class's first unit, by (doc_id, start); a passage
     and the stretch of the first document that holds the same words are a class of their own.
     Near-copies are paragraphs with den * |x & y| >= num * |x | y| for their sets of five-word shingles,
-    linked directly or over others.  Null or empty texts and null ids have no units; rows that repeat are one.
+    linked directly or over others.  Null or empty texts and null ids have no units; rows that repeat are one; a passage of rows that share a doc_id
+    reaches as far as in any of them.
     """
     two = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
     made = two.mapInArrow(lambda it: units(it, least), "id long, start int, end int, kind int, key long, bands array<long>")
@@ -161,7 +173,7 @@ def extended(two: DataFrame, pieces: DataFrame) -> DataFrame:
     asked = ends.select(F.col("id").alias("wid"), "pos", "side").unionByName(ends.select(F.col("fid").alias("wid"), F.col("fpos").alias("pos"), "side")).distinct()
     asked = asked.groupBy("wid").agg(F.collect_list(F.struct("pos", "side")).alias("asked"))  # two for every word of a text at most
     near = two.join(asked, F.col("id") == F.col("wid")).select("wid", "text", "asked").mapInArrow(around, "wid long, pos int, side int, near array<int>")
-    near = common.materialise(near.dropDuplicates(["wid", "pos", "side"]), "passage-around")
+    near = common.materialise(near, "passage-around")
     mine = near.select(F.col("wid").alias("id"), "pos", "side", F.col("near").alias("mine"))
     theirs = near.select(F.col("wid").alias("fid"), F.col("pos").alias("fpos"), "side", F.col("near").alias("theirs"))
     both = ends.join(mine, ["id", "pos", "side"]).join(theirs, ["fid", "fpos", "side"])

@@ -106,6 +106,17 @@ def test_minimisers_meet_every_window():
             assert ((p >= i) & (p + 4 <= i + 12)).any()
 
 
+def test_thinned_places_meet_every_window():
+    rng = np.random.default_rng(1)
+    h = np.concatenate([rng.integers(0, 999, 40), np.full(200, 7), rng.integers(0, 999, 50), np.full(9, 3), rng.integers(0, 999, 60)]).astype(np.uint64)
+    woff = np.array([0, len(h)])
+    every = flat.minimisers(h, woff, passages.K, passages.W)
+    p = passages._thinned(h, every)
+    assert len(p) < len(every) / 3 and set(p) <= set(every)
+    for i in range(len(h) - passages.K - passages.W + 2):
+        assert ((p >= i) & (p <= i + passages.W - 1)).any()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900 + i) for i in range(1, 60)] + [(None, 1), (7, None), (5, 5)]

@@ -2,9 +2,10 @@
 
 Suffixes are kept only at minimiser places, which depend on nothing but the words around them, so two
 documents that share a long enough passage keep the same places in it.  Kept suffixes that begin with the same
-ANCHOR words are candidates; for those alone the words before and after are fetched.  They are
-sorted, neighbours are compared, and every match is extended right and left until a word differs;
-matches of at least `least` words in different documents are the result, joined where they touch.
+ANCHOR words are candidates; for those alone the words before and after are fetched, as hashes of every window
+of `least` words around the place.  Windows that different documents hold are matches, whole
+groups of one anchor at a time, or one window at a time where an anchor has too many places for a task; the result
+are the matches, joined where they touch.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from ebbtide.llm import common, flat
 K, W, ANCHOR = 10, 30, 20
 #: Words kept before a place: the first place of a match is among its first W words.
 LEFT = W
+#: Places of one anchor that one task may compare.
 HOLD = 100_000
 
 
@@ -38,12 +40,12 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[doc]), pa.array((p - woff[doc]).astype(np.int32))], names=["key", "id", "pos"])
 
 
-def contexts(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, found: [(key, pos)]) to (key, right, left, id, pos): 32-bit hashes of the words after and, backwards, before each place; 0 beyond the text."""
+def contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(id, text, found: [(key, pos)]) to (key, id, pos, win); win has, for each o under LEFT, a 64-bit hash of the `least` words that begin o words before the place, 0 where the text has fewer."""
     for batch in batches:
         for lo, hi, text in flat.chunks(batch.column(1)):
             h, _, _, woff = flat.words(*flat.span(text))
-            words = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+            g = np.append(np.maximum(flat.ngrams(h, least), np.uint64(1)), np.uint64(0))
             found = batch.column(2).slice(lo, hi - lo)
             item = found.flatten()
             key, pos = item.field(0).to_numpy(), item.field(1).to_numpy().astype(np.int64)
@@ -51,16 +53,10 @@ def contexts(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[pa.Recor
             doc = np.repeat(np.arange(hi - lo), n)
             for i in range(0, len(key), 20_000):
                 d, p = doc[i : i + 20_000], pos[i : i + 20_000]
-                at = woff[d] + p
-                r = at[:, None] + np.arange(ahead)
-                right = np.where(r < woff[d + 1][:, None], words[np.minimum(r, len(words) - 1)], 0)
-                x = at[:, None] - 1 - np.arange(LEFT)
-                left = np.where(x >= woff[d][:, None], words[np.maximum(x, 0)], 0)
+                x = (woff[d] + p)[:, None] - np.arange(LEFT)
+                win = g[np.where((x >= woff[d][:, None]) & (x + least <= woff[d + 1][:, None]), x, len(g) - 1)]
                 ids = batch.column(0).to_numpy()[lo:hi][d]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[i : i + 20_000]), _binary(right.astype(">u4")), _binary(left.astype(">u4")), pa.array(ids), pa.array(p.astype(np.int32))],
-                    names=["key", "right", "left", "id", "pos"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 20_000]), pa.array(ids), pa.array(p.astype(np.int32)), _binary(win)], names=["key", "id", "pos", "win"])
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -68,50 +64,23 @@ def _binary(x: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words are equal, and not beyond the text."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(1), a.shape[1], np.argmin(same, 1))
-
-
-def _compare(key, right, left, ids, pos, least: int) -> list[np.ndarray]:
-    """Matches among rows in the given order, each with the nearest row of another document on either side."""
-    n, out = len(key), []
-    new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
-    run = np.flatnonzero(new)  # rows of one document side by side are one run
-    of = np.cumsum(new) - 1
-    for step in (-1, 1):
-        # going back: the row before the run; going on: the first row after it
-        j = run[of] - 1 if step < 0 else np.append(run, n)[of + 1]
-        ok = (j >= 0) & (j < n)
-        i = np.flatnonzero(ok)
-        j = j[i]
-        same = key[i] == key[j]
-        i, j = i[same], j[same]
-        r, x = _shared(right[i], right[j]), _shared(left[i], left[j])
-        hit = r + x >= least
-        i, j, r, x = i[hit], j[hit], r[hit], x[hit]
-        out.append(np.stack([ids[i], pos[i] - x, pos[i] + r, ids[j], pos[j] - x]))
-    return out
-
-
-def _windows(key, right, left, ids, pos, least: int) -> np.ndarray:
-    """Matches of just `least` words around each place, with whatever row of another document.
-
-    A suffix's nearest neighbour has the longest match to the right, but another one may have the longer
-    match in all.  So for every share of words before the place, suffixes are put in order of exactly
-    those words; what holds for some share holds for the words it spans.
+def _wide(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), LEFT)
+
+
+def _windows(key, win, ids, pos, least: int) -> np.ndarray:
+    """Matches (id, start, end, other) of just `least` words around each place, with whatever row of another document.
+
+    For every share of words before the place, rows are grouped by exactly those words; any longer match is made of such ones,
+    and two that share a place overlap.
     """
-    power, back = flat._powers(least + LEFT + 1)
-    r = np.cumsum(right.astype(np.uint64) * power[:least], axis=1, dtype=np.uint64)
-    x = np.cumsum(left.astype(np.uint64) * back[1 : LEFT + 1], axis=1, dtype=np.uint64)
     base = flat.mix(key.view(np.uint64))
-    first, last, other = np.full(len(key), -1), np.full(len(key), -1), np.zeros(len(key), np.int64)
+    first, last, other = np.full(len(key), -1), np.full(len(key), -1), np.full(len(key), np.iinfo(np.int64).max)
     for o in range(LEFT):
-        rows = np.flatnonzero((right[:, least - o - 1] != 0) & ((left[:, o - 1] != 0) if o else True))
+        rows = np.flatnonzero(win[:, o])
         if len(rows) < 2:
             continue
-        h = flat.mix(base[rows] + r[rows, least - o - 1] + (x[rows, o - 1] if o else np.uint64(0)))
+        h = flat.mix(base[rows] + win[rows, o])
         order = np.argsort(h, kind="stable")
         at = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
         mine = ids[rows][order]
@@ -119,46 +88,31 @@ def _windows(key, right, left, ids, pos, least: int) -> np.ndarray:
         lo, hi = np.repeat(np.minimum.reduceat(mine, at), size), np.repeat(np.maximum.reduceat(mine, at), size)
         hit = lo < hi
         at_row = rows[order][hit]
-        other[at_row] = np.where(mine == lo, hi, lo)[hit]
+        other[at_row] = np.minimum(other[at_row], np.where(mine == lo, hi, lo)[hit])
         first[at_row] = o
         last[at_row] = np.where(last[at_row] < 0, o, last[at_row])
     i = np.flatnonzero(first >= 0)
-    return np.stack([ids[i], pos[i] - first[i], pos[i] - last[i] + least, other[i], np.full(len(i), -1)])
-
-
-def neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, right, left), to matches (id, start, end, other, other_start)."""
-    held: pa.Table | None = None
-    for batch in _and_end(batches):
-        table = pa.Table.from_batches([batch]) if batch is not None else None
-        if table is not None:
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows == 0:
-                continue
-            cut = int(common.starts(held, ["key"])[-2])
-            if cut == 0 and held.num_rows < HOLD:
-                continue
-            now, held = (held.slice(0, cut), held.slice(cut)) if cut else (held, held.slice(held.num_rows - 1))
-        elif held is not None and held.num_rows:
-            now = held
-        else:
-            continue
-        key, ids, pos = (now.column(c).to_numpy() for c in ("key", "id", "pos"))
-        pos = pos.astype(np.int64)
-        right, left = (np.frombuffer(b"".join(now.column(c).to_pylist()), ">u4").reshape(len(key), -1).astype(np.uint32) for c in ("right", "left"))
-        found = _compare(key, right, left, ids, pos, least)
-        found.append(_windows(key, right, left, ids, pos, least))
-        m = np.concatenate(found, 1)
+    return np.stack([ids[i], pos[i] - first[i], pos[i] - last[i] + least, other[i]])
+
+
+def matches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, pos, win) by key, to matches (id, start, end, other)."""
+    for table in common.grouped(batches, ["key"]):
+        key, ids, pos = (table.column(c).to_numpy() for c in ("key", "id", "pos"))
+        m = _windows(key, _wide(table.column("win")), ids, pos.astype(np.int64), least)
         if m.shape[1]:
-            m = np.unique(m, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in m], names=["id", "start", "end", "other", "other_start"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(m, axis=1)], names=["id", "start", "end", "other"])
 
 
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    for b in batches:
-        if b.num_rows:
-            yield b
-    yield None
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, pos, win) to a row (key, win, id, start) for each window."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 5_000):
+            part = batch.slice(i, 5_000)
+            win = _wide(part.column(3))
+            r, o = np.nonzero(win)
+            key, ids, pos = (part.column(c).to_numpy()[r] for c in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(win[r, o].view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int64) - o)], names=["key", "win", "id", "start"])
 
 
 def repeated(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,11 +135,21 @@ def repeated(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str
     rows = common.materialise(two.mapInArrow(places, "key long, id long, pos int"), "suffix-places")
     reps = same.select(F.col("rep").alias("id")).distinct()
     rows = rows.join(reps, "id", "left_semi")
-    many = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    cand = rows.join(many, "key").groupBy("id").agg(F.collect_list(F.struct("key", "pos")).alias("found"))
-    ctx = two.join(cand, "id").mapInArrow(lambda it: contexts(it, least), "key long, right binary, left binary, id long, pos int")
-    ctx = ctx.repartitionByRange("key", "right").sortWithinPartitions("key", "right", "left", "id", "pos")
-    hits = ctx.mapInArrow(lambda it: neighbours(it, least), "id long, start long, end long, other long, other_start long")
+    many = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    many = common.materialise(many.select("key", (F.col("n") > HOLD).alias("heavy")), "suffix-keys")
+
+    def around(keys: DataFrame) -> DataFrame:
+        cand = rows.join(keys.select("key"), "key").groupBy("id").agg(F.collect_set(F.struct("key", "pos")).alias("found"))
+        return two.join(cand, "id").mapInArrow(lambda it: contexts(it, least), "key long, id long, pos int, win binary")
+
+    light = common.clustered(around(many.where("not heavy")), ["key"])
+    hits = light.mapInArrow(lambda it: matches(it, least), "id long, start long, end long, other long")
+    if many.where("heavy").limit(1).count():
+        # too many rows for one task: each window is a group of its own, of which only two numbers are asked
+        rest = common.materialise(around(many.where("heavy")).mapInArrow(single, "key long, win long, id long, start long"), "suffix-heavy")
+        met = rest.groupBy("key", "win").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+        other = F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
+        hits = hits.unionByName(rest.join(met, ["key", "win"]).select("id", "start", (F.col("start") + least).alias("end"), other))
 
     before = Window.partitionBy("id").orderBy("start", "end")
     reach = hits.distinct().withColumn("reach", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))

@@ -228,6 +228,32 @@ def test_suffixes_against_brute_force(spark, docs, rows):
     assert suffixes.repeated(docs.unionByName(docs).withColumn("key", F.lit(1))).count() == suffixes.repeated(docs).count()
 
 
+@pytest.mark.parametrize("hold", [100_000, 3])
+def test_suffixes_in_many_partitions(spark, monkeypatch, hold):
+    rng, rows = random.Random(12), []
+    for _ in range(60):
+        passage = prose(rng, rng.choice([50, 50, 51, 60]), 10**6)
+        for _ in range(rng.choice([2, 2, 3, 9])):
+            rows.append((len(rows), prose(rng, rng.choice([0, 3, 40]), 10**6) + " " + passage + " " + prose(rng, rng.choice([1, 30]), 10**6), "en", "s"))
+    hot = prose(rng, 20, 10**6)  # one anchor in many surroundings
+    for g in range(10):
+        before, after = prose(rng, 29, 10**6), prose(rng, 29, 10**6)
+        for _ in range(4):
+            rows.append((len(rows), " ".join([prose(rng, 5, 10**6), before, hot, after, prose(rng, 5, 10**6)]), "en", "s"))
+    monkeypatch.setattr(suffixes, "HOLD", hold)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        got = collections.defaultdict(set)
+        for r in suffixes.repeated(make(spark, rows)).collect():
+            got[r.doc_id].update(range(r.start, r.end))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert dict(got) == coverage(rows)
+
+
 # -- passages ---------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-The units are paragraphs (lines of at least `least` words) and pieces: runs of `least` words that begin at
+The units are paragraphs (lines that have words, however few) and pieces: runs of `least` words that begin at
 content-selected places, for passages that sit inside a longer paragraph.  Units of equal words
 collapse first.  Distinct paragraphs get BANDS bands of two MinHash values of their five-word
-shingles, enough to miss one pair in a thousand at similarity 0.8; paragraphs that collide have to
+shingles, enough to miss one pair in a thousand at similarity 0.8; ones of three shingles or fewer, where such a
+similarity means equal sets, a band that is the set.  Paragraphs that collide have to
 meet, and are linked if their exact Jaccard similarity is at least 0.8.  A piece is so short that such a
 similarity means equality, which its hash tells.  The components of the links are classes; of each
 class that spans several documents the first unit stays and the others go.
@@ -46,6 +47,22 @@ def _thinned(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p[((p - start) % W == 0) | np.append(new[1:], True)]
 
 
+def _few(sh: np.ndarray, soff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of at most three distinct shingles, and a hash of each one's set."""
+    first = sh[np.minimum(soff[:-1, None] + np.arange(4), soff[1:, None] - 1)]
+    again = np.zeros(len(first), bool)
+    for i in range(1, 4):
+        again |= (first[:, i, None] == first[:, :i]).any(1)  # of four shingles two are equal, or there are fewer
+    at, sums = [], []
+    for i in np.flatnonzero(again).tolist():
+        x = set(sh[soff[i] : soff[i + 1]].tolist())
+        if len(x) <= 3:
+            at.append(i)
+            sums.append(sorted(x) + [0] * (3 - len(x)))
+    x = np.array(sums, np.uint64).reshape(-1, 3)
+    return np.array(at, np.int64), flat.mix(flat.mix(flat.mix(x[:, 0]) + x[:, 1]) + x[:, 2])
+
+
 def units(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, start, end, kind, key, bands); start and end count words, kind is 0 for paragraphs and 1 for pieces."""
     for batch in batches:
@@ -62,18 +79,22 @@ def units(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             sh, soff = flat.shingles(h, loff, SHINGLE)
             low = np.stack([np.minimum.reduceat(flat.mix(sh * a), soff[:-1]) for a in _A])
             band = flat.mix(low[0::2] * np.uint64(3) + flat.mix(low[1::2]) + np.arange(BANDS, dtype=np.uint64)[:, None]).T
-            long = np.flatnonzero(n >= least)
+            bands = list(band.view(np.int64))
+            for i, x in zip(*_few(sh, soff)):
+                bands[i] = np.array([x]).view(np.int64)
+            for i in np.flatnonzero(n < SHINGLE).tolist():
+                bands[i] = None  # its key says all
             p = flat.minimisers(h, woff, K, W)
             p = _thinned(h, p)
             p = p[p + least <= woff[np.searchsorted(woff, p, "right")]] if len(p) else p
-            start, end = np.concatenate([loff[:-1][long], p]), np.concatenate([loff[1:][long], p + least])
+            start, end = np.concatenate([loff[:-1], p]), np.concatenate([loff[1:], p + least])
             doc = np.searchsorted(woff, start, "right") - 1
-            key = np.concatenate([whole[long], flat.ngrams(h, least)[p] if len(p) else np.empty(0, np.uint64)])
-            bands = [*band[long].view(np.int64), *[None] * len(p)]
+            key = np.concatenate([whole, flat.ngrams(h, least)[p] if len(p) else np.empty(0, np.uint64)])
+            bands += [None] * len(p)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(batch.column(0).to_numpy()[lo:hi][doc]), pa.array((start - woff[doc]).astype(np.int32)), pa.array((end - woff[doc]).astype(np.int32)),
-                    pa.array(np.repeat(np.array([0, 1], np.int32), [len(long), len(p)])), pa.array(key.view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(np.repeat(np.array([0, 1], np.int32), [len(n), len(p)])), pa.array(key.view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
                 ],
                 names=["id", "start", "end", "kind", "key", "bands"],
             )
@@ -98,7 +119,7 @@ def repeated(docs: DataFrame, least: int = LEAST, num: int = 80, den: int = 100,
     """(doc_id, start, end, kind, class_id, first_doc_id, kept): units of classes that span several documents.
 
     Words are the runs of other characters than white space, A-Z lower-cased; start and end count words, end is
-    exclusive.  kind is `paragraph` or `passage`.  kept is true for the class's first unit, by (doc_id, start); a passage
+    exclusive.  kind is `paragraph`, of any length, or `passage`, of `least` words or more.  kept is true for the class's first unit, by (doc_id, start); a passage
     and the stretch of the first document that holds the same words are a class of their own.
     Near-copies are paragraphs with den * |x & y| >= num * |x | y| for their sets of five-word shingles,
     linked directly or over others.  Null or empty texts and null ids have no units; rows that repeat are one; a passage of rows that share a doc_id

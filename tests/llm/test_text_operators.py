@@ -297,6 +297,29 @@ def test_near_paragraphs_against_brute_force(spark):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in expected.values() if len(g) > 1)
 
 
+def test_short_paragraphs(spark):
+    base = [f"b{i}" for i in range(19)]
+    shared = {1: ["one"], 3: ["x", "y", "z"], 6: base[:6], 9: [f"c{i}" for i in range(9)], 13: [f"d{i}" for i in range(13)]}
+    near = {13: [*shared[13][:-1], "other"]}  # 8 of 10 shingles
+    rows, want = [], set()
+    for n, w in shared.items():
+        for k in range(3):
+            i = len(rows)
+            x = near.get(n, w) if k == 1 else w
+            rows.append((i, f"only{i} a{i}\n" + " ".join(x) + f"\nlast{i}", "en", "s"))
+            want.add((i, 2, 2 + n, i - k, k == 0))
+    for k, n in enumerate((5, 7, 30)):  # one shingle, whatever the length
+        i = len(rows)
+        rows.append((i, " ".join(["same"] * n) + f"\nlast{i}", "en", "s"))
+        want.add((i, 0, n, i - k, k == 0))
+    rows.append((len(rows), "b0 b1 b2 b3 b4 q", "en", "s"))  # 1 of 3 shingles
+    docs = make(spark, rows)
+    got = passages.repeated(docs).where("kind = 'paragraph'").collect()
+    assert {(r.doc_id, r.start, r.end, r.first_doc_id, r.kept) for r in got} == want and len(got) == len(want)
+    left = {r.doc_id: words(r.text) for r in passages.without_repeats(docs).collect()}
+    assert left[0] == ["only0", "a0", "one", "last0"] and left[1] == ["only1", "a1", "last1"]
+
+
 def test_cutting_passages(spark, docs, rows):
     out = passages.without_repeats(docs.withColumn("start", F.lit(7)))
     assert out.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "start"]

@@ -1,9 +1,9 @@
 """MinHash near-dedup with an LSH forest.
 
-Every distinct shingle set has `trees` signatures of `depth` values.  For each tree the sets are
-sorted by signature (a range partitioning, so that a crowded region spreads over tasks), and sets
-whose signatures share a prefix are neighbours.  The prefix a pair must share adapts to the
-region: it starts at two values and grows while the region holds more than `crowd` rows.  Inside a
+Every distinct shingle set has `trees` signatures of `depth` values.  Sets whose signatures in a tree share a
+prefix are a region, which is never cut: one too large for a task is split into pairs of blocks.  The prefix a pair
+must share adapts to the region: it starts at two values and grows while the region holds more than `crowd` rows, but
+only as deep as the trees together still miss fewer than MISSED pairs.  Inside a
 region a sketch of all 128 values screens pairs and a spanning forest of the pairs that pass comes
 out, linear in the region however alike its rows are.  The connected components of those edges
 only say which sets have to meet: inside each component (heavy ones in pairs of blocks) links are
@@ -26,14 +26,22 @@ TREES, DEPTH, FIRST_DEPTH, CROWD = 16, 8, 2, 2048
 SCREEN = 91
 #: Elements of shingle sets in one block of a heavy component.
 BLOCK_ELEMENTS = 1_500_000
-#: Rows of a region that may wait for its end; a longer one is cut, its last row repeated.
-HOLD = 200_000
+#: Rows of a region that one task may compare.
+HOLD = 50_000
+#: The share of linked pairs that may be missed by crowded regions.
+MISSED = 1e-5
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(1, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 
 
+def deepest(num: int, den: int) -> int:
+    """The longest prefix that pairs at similarity num / den share in some tree but for MISSED of them; 4 at 0.85, 2 at 0.8."""
+    ok = [d for d in range(FIRST_DEPTH, DEPTH + 1) if (1 - (num / den) ** d) ** TREES <= MISSED]
+    return max(ok, default=FIRST_DEPTH)
+
+
 def signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, n, d1, d2, sig, sketch); sig has the trees' values as big-endian 16-bit numbers."""
     m = TREES * DEPTH
@@ -86,67 +94,58 @@ def _forest(ids: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[a], ids[b]
 
 
-def _region(sig: np.ndarray, lcp: np.ndarray, ids: np.ndarray, sketch: np.ndarray, lo: int, hi: int, depth: int, out: list) -> None:
-    """lcp[i]: of rows i - 1 and i. Goes deeper while the region is crowded."""
+def _region(sig: np.ndarray, lcp: np.ndarray, ids: np.ndarray, sketch: np.ndarray, lo: int, hi: int, depth: int, out: list, most: int = 4) -> None:
+    """lcp[i]: of rows i - 1 and i. Goes deeper while the region is crowded, down to most."""
     if hi - lo < 2:
         return
-    if hi - lo <= CROWD:
+    if hi - lo <= CROWD or depth >= most:
         out.append(_forest(ids[lo:hi], sketch[lo:hi]))
-    elif depth < DEPTH:
+    else:
         cuts = [lo, *(lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] <= depth)).tolist(), hi]
         for x, y in zip(cuts, cuts[1:]):
-            _region(sig, lcp, ids, sketch, x, y, depth + 1, out)
-    else:  # equal in every value: almost certainly one component; windows that share a row keep it whole
-        for x in range(lo, hi - 1, CROWD - 1):
-            out.append(_forest(ids[x : x + CROWD], sketch[x : x + CROWD]))
-
-
-def _neighbours(tree: np.ndarray, sig: np.ndarray, ids: np.ndarray, sketch: np.ndarray, out: list) -> int:
-    """Edges of all regions but the last, which may go on; returns where that one begins."""
-    n = len(ids)
-    same = np.logical_and.accumulate(sig[1:] == sig[:-1], axis=1).sum(1)
-    lcp = np.concatenate([[0], np.where(tree[1:] == tree[:-1], same, 0)])
-    at = np.append(np.flatnonzero(lcp < FIRST_DEPTH), n)
-    size = np.diff(at)
-    two = at[:-2][size[:-1] == 2]
-    d = sketch[two] ^ sketch[two + 1]
-    two = two[128 - np.bitwise_count((d | d >> np.uint64(1)) & _ODD).sum(1, dtype=np.int64) >= SCREEN]
-    out.append((ids[two], ids[two + 1]))
-    for i in np.flatnonzero(size[:-1] > 2).tolist():
-        _region(sig, lcp, ids, sketch, int(at[i]), int(at[i + 1]), FIRST_DEPTH, out)
-    return int(at[-2])
-
-
-def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, sig, id, sketch) sorted by tree and sig, to edges (a, b)."""
-    held: tuple[np.ndarray, ...] | None = None
-    end = [pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["tree", "sig", "id", "sketch"])]
-    for last, batch in ((False, b) for b in batches):
-        if batch.num_rows:
-            held, out = _step(held, batch, last)
-            yield from out
-    if held is not None:
-        _, out = _step(held, end[0], True)
-        yield from out
-
-
-def _step(held, batch: pa.RecordBatch, last: bool):
-    new: tuple[np.ndarray, ...] = ()
-    if batch.num_rows:
-        new = (batch.column(0).to_numpy(), _rows(batch.column(1), ">u2", DEPTH), batch.column(2).to_numpy(), _rows(batch.column(3), "<u8", 4))
-    parts = new if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, new)) if new else held
-    tree, sig, ids, sketch = parts
-    out: list = []
-    cut = _neighbours(tree, sig, ids, sketch, out)
-    if last or len(ids) - cut > HOLD:
-        same = np.logical_and.accumulate(sig[cut + 1 :] == sig[cut:-1], axis=1).sum(1)
+            _region(sig, lcp, ids, sketch, x, y, depth + 1, out, most)
+
+
+def candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, region, bi, bj, sig, id, sketch) by region and block pair, sorted by sig, to edges (a, b)."""
+    keys = ["tree", "region", "bi", "bj"]
+    for table in common.grouped(batches, keys):
+        at = common.starts(table, keys)
+        sig, sketch = _rows(table.column("sig"), ">u2", DEPTH), _rows(table.column("sketch"), "<u8", 4)
+        ids, depth = table.column("id").to_numpy(), table.column("region").combine_chunks()
+        same = np.logical_and.accumulate(sig[1:] == sig[:-1], axis=1).sum(1)
         lcp = np.concatenate([[0], same])
-        _region(sig[cut:], lcp, ids[cut:], sketch[cut:], 0, len(ids) - cut, FIRST_DEPTH, out)
-        cut = len(ids) - 1
-    a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
-    b = np.concatenate([y for _, y in out]) if out else np.empty(0, np.int64)
-    made = [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])] if len(a) else []
-    return tuple(x[cut:] for x in parts), made
+        size, out = np.diff(at), []
+        two = at[:-1][size == 2]
+        d = sketch[two] ^ sketch[two + 1]
+        two = two[128 - np.bitwise_count((d | d >> np.uint64(1)) & _ODD).sum(1, dtype=np.int64) >= SCREEN]
+        out.append((ids[two], ids[two + 1]))
+        for i in np.flatnonzero(size > 2).tolist():
+            _region(sig, lcp, ids, sketch, int(at[i]), int(at[i + 1]), len(depth[int(at[i])].as_py()) // 2, out, most)
+        a, b = (np.concatenate(x) for x in zip(*out))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def regions(rows: DataFrame, most: int) -> DataFrame:
+    """(tree, sig, id, sketch) with region, the shortest prefix of sig that no more than HOLD rows share, or that of most values; those still larger go into pairs of blocks bi, bj."""
+    whole = lambda df: df.withColumns({"bi": F.lit(0), "bj": F.lit(0)})
+    left, done = rows, []
+    for depth in range(FIRST_DEPTH, most + 1):
+        left = left.withColumn("region", F.substring("sig", 1, 2 * depth))
+        big = common.materialise(left.groupBy("tree", "region").count().where(F.col("count") > HOLD).select("tree", "region"), "minhash-big")
+        if not big.limit(1).count():
+            done.append(whole(left))
+            break
+        done.append(whole(left.join(big, ["tree", "region"], "left_anti")))
+        left = left.join(big, ["tree", "region"], "left_semi")
+    else:
+        done.append(common.block_pairs(left.withColumn("one", F.lit(1)), ["tree", "region"], "one", "id", max(HOLD // 2, 1)))
+    shown = ["tree", "region", "bi", "bj", "sig", "id", "sketch"]
+    out = done[0].select(*shown)
+    for x in done[1:]:
+        out = out.unionByName(x.select(*shown))
+    return out
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -217,8 +216,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     reps = full.groupBy("d1", "d2", "n").agg(F.min_by(F.struct("id", "sig", "sketch"), "id").alias("r")).select("d1", "d2", F.col("n").alias("size"), "r.*")
     reps = common.materialise(reps, "minhash-reps")
     rows = reps.select(F.posexplode(F.array([F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH) for t in range(TREES)])).alias("tree", "sig"), "id", "sketch")
-    rows = rows.repartitionByRange("tree", "sig", "id").sortWithinPartitions("tree", "sig", "id")
-    met = common.connected_components(rows.mapInArrow(candidates, "a long, b long"))
+    most = deepest(num, den)
+    rows = common.clustered(regions(rows, most), ["tree", "region", "bi", "bj"], ["sig", "id"])
+    met = common.connected_components(rows.mapInArrow(lambda it: candidates(it, most), "a long, b long"))
 
     # which of them are linked, on the full sets
     inside = met.join(reps.select(F.col("id").alias("node"), "size"), "node")

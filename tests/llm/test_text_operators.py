@@ -189,6 +189,24 @@ def test_minhash_in_blocks_and_crowded_regions(spark, docs, rows, monkeypatch):
     assert all((x != y).all() for x, y in out) and sum(len(x) for x, _ in out) < 300
 
 
+def test_minhash_of_a_region_too_crowded_for_a_task(spark, monkeypatch):
+    assert (minhash.deepest(85, 100), minhash.deepest(80, 100)) == (4, 2)
+    rng, rows = random.Random(21), []
+    head = " ".join(f"t{i}" for i in range(120))  # a template: much in common, and not enough for a link
+    for _ in range(40):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(60)]
+        for k in (0, 1):
+            w = list(own)
+            for _ in range(4 * k):
+                w[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), head + " " + " ".join(w), "en", "s"))
+    rng.shuffle(rows)
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    monkeypatch.setattr(minhash, "CROWD", 4)
+    monkeypatch.setattr(minhash, "HOLD", 6)
+    check_minhash(minhash.near_duplicates(make(spark, rows)).collect(), rows)
+
+
 def test_minhash_empty_and_extra_columns(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
     clash = docs.withColumns({"component_id": F.lit("x"), "n": F.lit(1), "id": F.lit(2), "node": F.lit(3), "size": F.lit(4)})

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,22 +17,47 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where the session has none."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where the session has none, a temporary folder serves a master that is local, so one machine; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="ebbtide-")
+        if held.isDefined():
+            root = held.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            root = "file://" + tempfile.mkdtemp(prefix="ebbtide-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
+    """A fresh path in the shared folder, removed at the end of the scratch_scope() it is made in, or when the driver's Python ends."""
     path = f"{scratch_root(spark)}/ebbtide/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes all scratch tables that are made inside; what is made of them must be written before the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -83,20 +111,31 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     )
 
 
-def block_pairs(df: DataFrame, key: Sequence[str], weight: str, ident: str, limit: int) -> DataFrame:
-    """Splits groups that are too heavy for one task into pairs of blocks; loses no pair of rows.
+def blocks(df: DataFrame, key: Sequence[str], weight: str, limit: int) -> DataFrame:
+    """df with nb: into how many blocks its group (same key) goes, ceil(sum of weights / limit)."""
+    total = df.groupBy(*key).agg(F.greatest(F.ceil(F.sum(weight) / F.lit(float(limit))), F.lit(1)).cast("int").alias("nb"))
+    return df.join(total, list(key))
 
-    A group (same key) whose weights sum to more than limit gets ceil(sum / limit) blocks.  Each row
-    falls into the block that the hash of its ident names and goes to every pair of blocks that
-    includes it, so that any two rows meet in at least one pair, and one pair holds about twice the
-    limit.  Adds bi, bj (bi <= bj) and bk, the row's own block.
+
+def paired(df: DataFrame, ident: str) -> DataFrame:
+    """Sends each row of a group of nb blocks to every pair of blocks that has its own; any two rows of a group meet.
+
+    A row's block is named by the hash of its ident.  Adds bi, bj (bi <= bj) and bk, the row's own block.
     """
-    total = df.groupBy(*key).agg(F.greatest(F.ceil(F.sum(weight) / F.lit(float(limit))), F.lit(1)).cast("int").alias("nb"))
-    out = df.join(total, list(key)).withColumn("bk", F.pmod(F.xxhash64(F.lit("block"), ident), F.col("nb")).cast("int"))
+    out = df.withColumn("bk", F.pmod(F.xxhash64(F.lit("block"), ident), F.col("nb")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return out.withColumn("bi", F.least("bk", "other")).withColumn("bj", F.greatest("bk", "other")).drop("other", "nb")
 
 
+def block_pairs(df: DataFrame, key: Sequence[str], weight: str, ident: str, limit: int) -> DataFrame:
+    """Splits groups that are too heavy for one task into pairs of blocks; loses no pair of rows.
+
+    A pair holds about twice the limit.  Where rows are yet to be widened, blocks() before and paired() after that
+    copy nothing early.
+    """
+    return paired(blocks(df, key, weight, limit), ident)
+
+
 def clustered(df: DataFrame, keys: Sequence[str], then: Sequence[str] = ()) -> DataFrame:
     """Rows of one key in one partition, next to each other."""
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *then)
@@ -171,6 +210,31 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.nd
     return np.concatenate(frm), np.concatenate(to)
 
 
+def screen(values: int, num: int, den: int, miss: float) -> int:
+    """How many of `values` two-bit MinHash values must agree, so that pairs at similarity num / den fail with a chance of at most `miss`."""
+    p, below = num / den + (1 - num / den) / 4, 0.0
+    for k in range(values + 1):
+        below += math.comb(values, k) * p**k * (1 - p) ** (values - k)
+        if below > miss:
+            return k
+    return values
+
+
+_ODD = np.uint64(0x5555555555555555)
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the two-bit values that rows of 64-bit numbers hold, how many are equal."""
+    d = x ^ y
+    return 32 * x.shape[-1] - np.bitwise_count((d | d >> np.uint64(1)) & _ODD).sum(-1, dtype=np.int64)
+
+
+def two_bit(sig: np.ndarray) -> np.ndarray:
+    """Signatures (rows x values) to sketches: the last two bits of every value, 32 values in a 64-bit number."""
+    two = (sig & 3).astype(np.uint64).reshape(len(sig), -1, 32)
+    return np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ebbtide.llm import common, flat
 
 TREES, DEPTH, FIRST_DEPTH, CROWD = 16, 8, 2, 2048
-#: Of 128 sketch values of 2 bits, how many must agree: 113.6 are expected at similarity 0.85, fewer than 91 with a chance of 1 in 10^8.
-SCREEN = 91
+#: The chance that the sketch of 128 values of 2 bits screens a pair off that is as similar as asked: 90 must agree at 0.85, 83 at 0.8.
+SCREENED = 1e-8
 #: Elements of shingle sets in one block of a heavy component.
 BLOCK_ELEMENTS = 1_500_000
 #: Rows of a region that one task may compare.
@@ -61,8 +61,7 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
                 for j in range(m):
                     low = np.minimum.reduceat(x * _A[j] + _B[j], at)
                     sig[full, j] = (low * np.uint32(0x9E3779B1)) >> np.uint32(16)
-            two = (sig & 3).reshape(hi - lo, m // 4, 4).astype(np.uint8)
-            sketch = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
+            sketch = common.two_bit(sig)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _binary(sig.astype(">u2")), _binary(sketch)],
                 names=["id", "n", "d1", "d2", "sig", "sketch"],
@@ -82,31 +81,25 @@ def _rows(col: pa.Array, dtype: str, wide: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8)[off[0] : off[-1]].view(dtype).reshape(len(col), wide)
 
 
-_ODD = np.uint64(0x5555555555555555)
-
-
-def _forest(ids: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    def near(i: int, rest: np.ndarray) -> np.ndarray:
-        d = sketch[rest] ^ sketch[i]
-        return 128 - np.bitwise_count((d | d >> np.uint64(1)) & _ODD).sum(1, dtype=np.int64) >= SCREEN
-
-    a, b = common.forest(len(ids), near)
+def sketch_forest(ids: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose sketches agree in `least` values."""
+    a, b = common.forest(len(ids), lambda i, rest: common.agreeing(sketch[rest], sketch[i]) >= least)
     return ids[a], ids[b]
 
 
-def _region(sig: np.ndarray, lcp: np.ndarray, ids: np.ndarray, sketch: np.ndarray, lo: int, hi: int, depth: int, out: list, most: int = 4) -> None:
-    """lcp[i]: of rows i - 1 and i. Goes deeper while the region is crowded, down to most."""
+def _region(lcp: np.ndarray, ids: np.ndarray, sketch: np.ndarray, lo: int, hi: int, depth: int, out: list, most: int, least: int) -> None:
+    """lcp[i]: values that the signatures of rows i - 1 and i share. Goes deeper while the region is crowded, down to most."""
     if hi - lo < 2:
         return
     if hi - lo <= CROWD or depth >= most:
-        out.append(_forest(ids[lo:hi], sketch[lo:hi]))
+        out.append(sketch_forest(ids[lo:hi], sketch[lo:hi], least))
     else:
         cuts = [lo, *(lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] <= depth)).tolist(), hi]
         for x, y in zip(cuts, cuts[1:]):
-            _region(sig, lcp, ids, sketch, x, y, depth + 1, out, most)
+            _region(lcp, ids, sketch, x, y, depth + 1, out, most, least)
 
 
-def candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def candidates(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[pa.RecordBatch]:
     """Rows (tree, region, bi, bj, sig, id, sketch) by region and block pair, sorted by sig, to edges (a, b)."""
     keys = ["tree", "region", "bi", "bj"]
     for table in common.grouped(batches, keys):
@@ -117,11 +110,10 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
         lcp = np.concatenate([[0], same])
         size, out = np.diff(at), []
         two = at[:-1][size == 2]
-        d = sketch[two] ^ sketch[two + 1]
-        two = two[128 - np.bitwise_count((d | d >> np.uint64(1)) & _ODD).sum(1, dtype=np.int64) >= SCREEN]
+        two = two[common.agreeing(sketch[two], sketch[two + 1]) >= least]
         out.append((ids[two], ids[two + 1]))
         for i in np.flatnonzero(size > 2).tolist():
-            _region(sig, lcp, ids, sketch, int(at[i]), int(at[i + 1]), len(depth[int(at[i])].as_py()) // 2, out, most)
+            _region(lcp, ids, sketch, int(at[i]), int(at[i + 1]), len(depth[int(at[i])].as_py()) // 2, out, most, least)
         a, b = (np.concatenate(x) for x in zip(*out))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -216,16 +208,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     reps = full.groupBy("d1", "d2", "n").agg(F.min_by(F.struct("id", "sig", "sketch"), "id").alias("r")).select("d1", "d2", F.col("n").alias("size"), "r.*")
     reps = common.materialise(reps, "minhash-reps")
     rows = reps.select(F.posexplode(F.array([F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH) for t in range(TREES)])).alias("tree", "sig"), "id", "sketch")
-    most = deepest(num, den)
+    most, least = deepest(num, den), common.screen(TREES * DEPTH, num, den, SCREENED)
     rows = common.clustered(regions(rows, most), ["tree", "region", "bi", "bj"], ["sig", "id"])
-    met = common.connected_components(rows.mapInArrow(lambda it: candidates(it, most), "a long, b long"))
+    met = common.connected_components(rows.mapInArrow(lambda it: candidates(it, most, least), "a long, b long"))
 
-    # which of them are linked, on the full sets
+    # which of them are linked, on the full sets: every text is cut into shingles once
     inside = met.join(reps.select(F.col("id").alias("node"), "size"), "node")
-    inside = common.block_pairs(inside, ["component"], "size", "node", BLOCK_ELEMENTS)
-    texts = two.where("id is not null and text is not null").join(inside.select("node", "component", "bi", "bj"), F.col("id") == F.col("node"))
-    sets = texts.select("text", "id", "component", "bi", "bj").mapInArrow(lambda it: shingle_sets(it, words), "id long, component long, bi int, bj int, items binary")
-    links = common.clustered(sets, ["component", "bi", "bj"]).mapInArrow(lambda it: confirm(it, num, den), "a long, b long")
+    inside = common.blocks(inside, ["component"], "size", BLOCK_ELEMENTS).select("node", "component", "nb")
+    texts = two.where("id is not null and text is not null").join(inside, F.col("id") == F.col("node"))
+    sets = texts.select("text", "id", "component", "nb").mapInArrow(lambda it: shingle_sets(it, words), "id long, component long, nb int, items binary")
+    sets = common.clustered(common.paired(sets, "id"), ["component", "bi", "bj"])
+    links = sets.mapInArrow(lambda it: confirm(it, num, den), "a long, b long")
     comp = common.connected_components(links)
 
     named = reps.join(comp, F.col("id") == F.col("node"), "left").select("d1", "d2", "size", F.coalesce("component", "id").alias("component_id"))

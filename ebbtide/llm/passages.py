@@ -1,13 +1,12 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-The units are paragraphs (lines that have words, however few) and pieces: runs of `least` words that begin at
-content-selected places, for passages that sit inside a longer paragraph.  Units of equal words
-collapse first.  Distinct paragraphs get BANDS bands of two MinHash values of their five-word
-shingles, enough to miss one pair in a thousand at similarity 0.8; ones of three shingles or fewer, where such a
-similarity means equal sets, a band that is the set.  Paragraphs that collide have to
-meet, and are linked if their exact Jaccard similarity is at least 0.8.  A piece is so short that such a
-similarity means equality, which its hash tells.  The components of the links are classes; of each
-class that spans several documents the first unit stays and the others go.
+Paragraphs are the lines of a text and, for passages that sit inside a longer line, windows: runs of WINDOW words
+that begin at content-selected places, so that any 51 words hold a whole one.  Both go the same way.  Equal ones count
+once; bands of two MinHash values of the five-word shingles bring paragraphs together; a sketch of VALUES values
+screens each pair of a band, so that chance and boilerplate chain nothing; pairs that pass meet on their full
+shingle sets and are linked if the exact Jaccard similarity is at least 0.8.  The components of the links are
+classes; of each class that spans several documents the first paragraph stays and the others go.  Windows that go and follow
+each other become one passage, extended to where the documents differ.
 """
 
 from __future__ import annotations
@@ -21,13 +20,24 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import common, flat, minhash
 
-LEAST, SHINGLE, BANDS = 20, 5, 7
-#: A piece begins at a minimiser of 28 4-grams: any 51 words hold a whole piece of 20.
+WINDOW, SHINGLE, SHORTEST = 20, 5, 5
+#: Bands of two values. A line at similarity 0.8 is missed with a chance of 1 in 1,000. Unequal windows of 16 shingles at 0.8 share 15 of 17,
+#: so two bands miss 1 in 20 of them.
+LINE_BANDS, WINDOW_BANDS = 7, 2
+#: Two-bit values of a sketch; one pair in 10,000 at similarity 0.8 fails the screen.
+VALUES, SCREENED = 64, 1e-4
+#: A window begins at a minimiser of 28 4-grams: any 51 words hold a whole window of 20.
 K, W = 4, 28
 STEP = K + W
+#: Words on either side of a window that tell which of its partners go on like it.
+SIDE = 10
 BLOCK_ELEMENTS = 1_500_000
+#: Paragraphs of one band that one task may compare.
+HOLD = 50_000
 _rng = np.random.Generator(np.random.PCG64(4242))
-_A = _rng.integers(1, 2**63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
+_A = _rng.integers(1, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
+UNITS = "id long, start int, end int, kind int, key long, bands array<long>, s1 long, s2 long, before int, after int"
 
 
 def _lines(data: np.ndarray, off: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -47,15 +57,15 @@ def _thinned(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p[((p - start) % W == 0) | np.append(new[1:], True)]
 
 
-def _few(sh: np.ndarray, soff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines of at most three distinct shingles, and a hash of each one's set."""
-    first = sh[np.minimum(soff[:-1, None] + np.arange(4), soff[1:, None] - 1)]
+def _few(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which stretches sh[a:b] have at most three distinct shingles, and a hash of each one's set."""
+    first = sh[np.minimum(a[:, None] + np.arange(4), b[:, None] - 1)]
     again = np.zeros(len(first), bool)
     for i in range(1, 4):
         again |= (first[:, i, None] == first[:, :i]).any(1)  # of four shingles two are equal, or there are fewer
     at, sums = [], []
     for i in np.flatnonzero(again).tolist():
-        x = set(sh[soff[i] : soff[i + 1]].tolist())
+        x = set(sh[a[i] : b[i]].tolist())
         if len(x) <= 3:
             at.append(i)
             sums.append(sorted(x) + [0] * (3 - len(x)))
@@ -63,100 +73,181 @@ def _few(sh: np.ndarray, soff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at, np.int64), flat.mix(flat.mix(flat.mix(x[:, 0]) + x[:, 1]) + x[:, 2])
 
 
-def units(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, start, end, kind, key, bands); start and end count words, kind is 0 for paragraphs and 1 for pieces."""
+def _sides(h: np.ndarray, woff: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the SIDE words from each place on, 0 where its text has fewer."""
+    g = np.append(flat.ngrams(h, SIDE) >> np.uint64(33), np.zeros(SIDE, np.uint64)).astype(np.int32) | 1
+    inside = (at >= woff[doc]) & (at + SIDE <= woff[doc + 1])
+    return np.where(inside, g[np.where(inside, at, 0)], 0).astype(np.int32)
+
+
+def units(batches: Iterator[pa.RecordBatch], window: int, shortest: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) to UNITS: lines (kind 0) and windows (kind 1); start and end count words."""
     for batch in batches:
         for lo, hi, text in flat.chunks(batch.column(1)):
             data, off = flat.span(text)
             h, s, _, woff = flat.words(data, off)
-            if not len(h):
+            if len(h) < shortest:
                 continue
             loff = _lines(data, off, s)
-            n = np.diff(loff)
+            a, b = loff[:-1], loff[1:]
+            long = b - a >= shortest
+            a, b = a[long], b[long]
+            p = _thinned(h, flat.minimisers(h, woff, K, W))
+            p = p[p + window <= woff[np.searchsorted(woff, p, "right")]] if len(p) else p
+            start, end = np.concatenate([a, p]), np.concatenate([b, p + window])
+            n, kind = end - start, np.repeat(np.array([0, 1], np.int32), [len(a), len(p)])
+            if not len(n):
+                continue
             power, back = flat._powers(len(h) + 1)
             total = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1], dtype=np.uint64)])
-            whole = flat.mix((total[loff[1:]] - total[loff[:-1]]) * back[loff[:-1]] + n.astype(np.uint64))
-            sh, soff = flat.shingles(h, loff, SHINGLE)
-            low = np.stack([np.minimum.reduceat(flat.mix(sh * a), soff[:-1]) for a in _A])
-            band = flat.mix(low[0::2] * np.uint64(3) + flat.mix(low[1::2]) + np.arange(BANDS, dtype=np.uint64)[:, None]).T
-            bands = list(band.view(np.int64))
-            for i, x in zip(*_few(sh, soff)):
-                bands[i] = np.array([x]).view(np.int64)
-            for i in np.flatnonzero(n < SHINGLE).tolist():
-                bands[i] = None  # its key says all
-            p = flat.minimisers(h, woff, K, W)
-            p = _thinned(h, p)
-            p = p[p + least <= woff[np.searchsorted(woff, p, "right")]] if len(p) else p
-            start, end = np.concatenate([loff[:-1], p]), np.concatenate([loff[1:], p + least])
+            key = flat.mix((total[end] - total[start]) * back[start] + n.astype(np.uint64) + (kind.astype(np.uint64) << np.uint64(40)))
+
+            # every five words of the chunk have a shingle; a unit's are those from its start to four before its end
+            sh, _ = flat.shingles(h, np.array([0, len(h)]), SHINGLE)
+            some = np.flatnonzero(n >= SHINGLE)
+            ends = np.stack([start[some], end[some] - SHINGLE + 1], 1).ravel()
+            x, sig, low = (sh >> np.uint64(32)).astype(np.uint32), np.zeros((len(n), VALUES), np.uint16), []
+            x = np.append(x, x[-1:])
+            for j in range(VALUES if len(some) else 0):
+                y = np.minimum.reduceat(x * _A[j] + _B[j], ends)[::2]
+                sig[some, j] = (y * np.uint32(0x9E3779B1)) >> np.uint32(16)
+                if j < 2 * LINE_BANDS:
+                    low.append(y.astype(np.uint64))
+            sketch = common.two_bit(sig).view(np.int64)
+            count = np.where(n < SHINGLE, 0, np.where(kind == 0, LINE_BANDS, WINDOW_BANDS))
+            band = np.zeros((len(n), LINE_BANDS), np.uint64)
+            for i in range(LINE_BANDS if len(some) else 0):
+                band[some, i] = flat.mix((low[2 * i] << np.uint64(32) | low[2 * i + 1]) + flat.mix(kind[some].astype(np.uint64) * np.uint64(64) + np.uint64(i)))
+            lines = some[kind[some] == 0]
+            if len(lines):
+                at, sums = _few(sh, start[lines], end[lines] - SHINGLE + 1)
+                band[lines[at], 0], count[lines[at]] = sums, 1  # at 0.8 such sets are equal
             doc = np.searchsorted(woff, start, "right") - 1
-            key = np.concatenate([whole, flat.ngrams(h, least)[p] if len(p) else np.empty(0, np.uint64)])
-            bands += [None] * len(p)
+            inside = kind == 1
+            before, after = np.zeros((2, len(n)), np.int32)
+            before[inside], after[inside] = _sides(h, woff, doc[inside], start[inside] - SIDE), _sides(h, woff, doc[inside], end[inside])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            values = pa.array(band[np.arange(LINE_BANDS) < count[:, None]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(batch.column(0).to_numpy()[lo:hi][doc]), pa.array((start - woff[doc]).astype(np.int32)), pa.array((end - woff[doc]).astype(np.int32)),
-                    pa.array(np.repeat(np.array([0, 1], np.int32), [len(n), len(p)])), pa.array(key.view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(kind), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(offsets, values),
+                    pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.array(before), pa.array(after),
                 ],
-                names=["id", "start", "end", "kind", "key", "bands"],
+                names=["id", "start", "end", "kind", "key", "bands", "s1", "s2", "before", "after"],
             )
 
 
+def screened(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (b, bi, bj, key, s1, s2) by band and block pair, to edges (a, b): a spanning forest of each group's pairs that pass the screen."""
+    keys = ["b", "bi", "bj"]
+    for table in common.grouped(batches, keys):
+        at, ids = common.starts(table, keys), table.column("key").to_numpy()
+        sketch = np.stack([table.column(c).to_numpy() for c in ("s1", "s2")], 1).view(np.uint64)
+        size = np.diff(at)
+        two = at[:-1][size == 2]
+        two = two[common.agreeing(sketch[two], sketch[two + 1]) >= least]
+        out = [(ids[two], ids[two + 1])]
+        for i in np.flatnonzero(size > 2).tolist():
+            out.append(minhash.sketch_forest(ids[at[i] : at[i + 1]], sketch[at[i] : at[i + 1]], least))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def stretch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, start, end, ...) to (..., items): the distinct shingles of those words."""
+    """(text, wanted: [(start, end, id, component, nb)]) to (id, component, nb, items): the distinct shingles of each stretch."""
     for batch in batches:
         for lo, hi, text in flat.chunks(batch.column(0)):
             h, _, _, woff = flat.words(*flat.span(text))
-            a = woff[:-1] + batch.column(1).to_numpy()[lo:hi]
-            b = woff[:-1] + batch.column(2).to_numpy()[lo:hi]
-            items = []
-            for x, y in zip(a.tolist(), b.tolist()):
-                sh, _ = flat.shingles(h[x:y], np.array([0, y - x]), SHINGLE)
-                items.append(np.unique(sh).tobytes())
-            rest = [batch.column(i).slice(lo, hi - lo) for i in range(3, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(items, pa.binary())], names=[*batch.schema.names[3:], "items"])
+            wanted = batch.column(1).slice(lo, hi - lo)
+            item = wanted.flatten()
+            first = np.repeat(woff[:-1], np.diff(np.asarray(wanted.offsets)))
+            a, b, *rest = (item.field(i).to_numpy() for i in range(5))
+            for i in range(0, len(a), 20_000):
+                items = []
+                for x, y in zip((first + a)[i : i + 20_000].tolist(), (first + b)[i : i + 20_000].tolist()):
+                    sh, _ = flat.shingles(h[x:y], np.array([0, y - x]), SHINGLE)
+                    items.append(np.unique(sh).tobytes())
+                yield pa.RecordBatch.from_arrays([*(pa.array(r[i : i + 20_000]) for r in rest), pa.array(items, pa.binary())], names=["id", "component", "nb", "items"])
+
 
+def classes(two: DataFrame, units_: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) of the keys of linked paragraphs."""
+    hung = units_.select("key", F.explode("bands").alias("b"))
+    crowded = hung.groupBy("b").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("b")
+    cand = common.materialise(hung.join(crowded, "b").distinct(), "passage-bands")
+    some = units_.join(cand.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "start", "end", "s1", "s2")).alias("at"))
+    some = common.materialise(some.select("key", "at.*"), "passage-some")
+    rows = cand.join(some.select("key", "s1", "s2"), "key").withColumn("one", F.lit(1))
+    rows = common.clustered(common.block_pairs(rows, ["b"], "one", "key", HOLD), ["b", "bi", "bj"]).select("b", "bi", "bj", "key", "s1", "s2")
+    least = common.screen(VALUES, num, den, SCREENED)
+    met = common.connected_components(rows.mapInArrow(lambda it: screened(it, least), "a long, b long"))
 
-def repeated(docs: DataFrame, least: int = LEAST, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, end, kind, class_id, first_doc_id, kept): units of classes that span several documents.
+    inside = met.join(some, F.col("node") == F.col("key")).select("id", "start", "end", "node", "component", (F.col("end") - F.col("start")).alias("n"))
+    inside = common.blocks(inside, ["component"], "n", BLOCK_ELEMENTS)
+    # a text goes once, with all that is asked of it
+    wanted = inside.groupBy(F.col("id").alias("wid")).agg(F.collect_list(F.struct("start", "end", F.col("node").alias("id"), "component", "nb")).alias("wanted"))
+    sets = two.join(wanted, F.col("id") == F.col("wid")).select("text", "wanted").mapInArrow(stretch_sets, "id long, component long, nb int, items binary")
+    sets = common.clustered(common.paired(sets, "id"), ["component", "bi", "bj"])
+    return common.connected_components(sets.mapInArrow(lambda it: minhash.confirm(it, num, den), "a long, b long"))
+
+
+def repeated(
+    docs: DataFrame, window: int = WINDOW, num: int = 80, den: int = 100, shortest: int = SHORTEST, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, start, end, kind, class_id, first_doc_id, kept): paragraphs of classes that span several documents.
 
     Words are the runs of other characters than white space, A-Z lower-cased; start and end count words, end is
-    exclusive.  kind is `paragraph`, of any length, or `passage`, of `least` words or more.  kept is true for the class's first unit, by (doc_id, start); a passage
-    and the stretch of the first document that holds the same words are a class of their own.
-    Near-copies are paragraphs with den * |x & y| >= num * |x | y| for their sets of five-word shingles,
-    linked directly or over others.  Null or empty texts and null ids have no units; rows that repeat are one; a passage of rows that share a doc_id
+    exclusive.  kind is `paragraph`, a line of `shortest` words or more, or `passage`, of `window` words or more.  kept is true for the
+    class's first one, by (doc_id, start).  Equal windows that follow each other are one passage, as far as the documents agree; it and the
+    stretch of an earlier document that holds the same words are a class of their own.  Windows that are like another one and equal to none stay as they are.
+    Paragraphs are linked if den * |x & y| >= num * |x | y| for their sets of five-word shingles (fewer words are one shingle).
+    Null or empty texts and null ids have no paragraphs; rows that repeat are one; a passage of rows that share a doc_id
     reaches as far as in any of them.
     """
     two = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
-    made = two.mapInArrow(lambda it: units(it, least), "id long, start int, end int, kind int, key long, bands array<long>")
-    all_ = common.materialise(made, "passage-units")
-
-    lines = all_.where("kind = 0").groupBy("key").agg(F.min(F.struct("id", "start", "end")).alias("at"), F.any_value("bands").alias("bands"))
-    lines = common.materialise(lines, "passage-lines")
-    hung = lines.select("key", F.explode("bands").alias("b"))
-    least_key = hung.groupBy("b").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("b", "low")
-    met = common.connected_components(hung.join(least_key, "b").select(F.col("key").alias("a"), F.col("low").alias("b")))
-    inside = met.join(lines, F.col("node") == F.col("key")).select("node", "component", "at", (F.col("at.end") - F.col("at.start")).alias("n"))
-    inside = common.block_pairs(inside, ["component"], "n", "node", BLOCK_ELEMENTS)
-    wanted = inside.select("at.*", F.col("node"), "component", "bi", "bj").withColumnRenamed("id", "wid")
-    texts = two.join(wanted, F.col("id") == F.col("wid")).select("text", "start", "end", F.col("node").alias("id"), "component", "bi", "bj")
-    sets = texts.mapInArrow(stretch_sets, "id long, component long, bi int, bj int, items binary")
-    links = common.clustered(sets, ["component", "bi", "bj"]).mapInArrow(lambda it: minhash.confirm(it, num, den), "a long, b long")
-    comp = common.connected_components(links)
-
-    # only paragraphs are looked up: most units are pieces
-    place = ["id", "start", "end", "kind"]
-    lined = all_.where("kind = 0").join(comp, F.col("key") == F.col("node"), "left").select(*place, F.coalesce("component", "key").alias("class_id"))
-    same = lined.unionByName(all_.where("kind = 1").select(*place, F.col("key").alias("class_id")))
-    spread = same.groupBy("kind", "class_id").agg(F.min(F.struct("id", "start", "end")).alias("first"), F.max("id").alias("high")).where("first.id < high")
-    out = same.join(spread, ["kind", "class_id"]).distinct()
+    all_ = common.materialise(two.mapInArrow(lambda it: units(it, window, shortest), UNITS), "passage-units")
+    comp = classes(two, all_, num, den)
+
+    # what is met once only, and linked with nothing, goes no further
+    met = all_.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).join(comp, F.col("key") == F.col("node"), "left")
+    met = met.where("low < high or component is not null").select("key", F.coalesce("component", "key").alias("class_id"))
+    place = ["id", "start", "end", "kind", "key", "class_id", "before", "after"]
+    same = common.materialise(all_.join(met, "key").select(*place).distinct(), "passage-same")
+    first = F.min(F.struct("id", "start", "end", "key")).alias("first")
+    spread = same.groupBy("kind", "class_id").agg(first, F.max("id").alias("high"), (F.min("key") < F.max("key")).alias("mixed"))
+    out = same.join(spread.where("first.id < high").drop("high"), ["kind", "class_id"])
     own = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
-    shown = ["doc_id", "start", "end", "kind", "class_id", "first_doc_id", "kept"]
-    lined = out.where("kind = 0").select(F.col("id").alias("doc_id"), "start", "end", F.lit("paragraph").alias("kind"), "class_id", F.col("first.id").alias("first_doc_id"), own.alias("kept"))
-    gone = out.where(~own & (F.col("kind") == 1)).select("id", "start", "end", F.col("first.id").alias("fid"), (F.col("start") - F.col("first.start")).alias("diag"))
+    shown = [F.col("id").alias("doc_id"), "start", "end"]
+    rest = ["class_id", F.col("first.id").alias("first_doc_id"), own.alias("kept")]
+    lined = out.where("kind = 0").select(*shown, F.lit("paragraph").alias("kind"), *rest)
+
+    # a window's partners are the first of its equals, and the first of those that go on like it before or after
+    windows, gone = same.where("kind = 1"), None
+    for side in ([], ["before"], ["after"]):
+        known = windows.where(F.col(side[0]) != 0) if side else windows
+        alike = known.groupBy("key", *side).agg(first, F.max("id").alias("last")).where("first.id < last").drop("last")
+        later = F.col("id") > F.col("first.id") if side else ~own
+        pieces = known.join(alike, ["key", *side]).where(later)
+        pieces = pieces.select("id", "start", "end", F.col("first.id").alias("fid"), (F.col("start") - F.col("first.start")).alias("diag"))
+        gone = pieces if gone is None else gone.unionByName(pieces)
     runs = extended(two, gone).withColumn("class_id", F.xxhash64("fid", F.col("start") - F.col("diag"), F.col("end") - F.col("diag"), F.lit("passage")))
-    place = lambda doc, back, kept: F.struct(F.col(doc).alias("doc_id"), (F.col("start") - back).alias("start"), (F.col("end") - back).alias("end"), F.lit(kept).alias("kept"))
-    both = F.inline(F.array(place("id", F.lit(0), False), place("fid", F.col("diag"), True)))
-    found = runs.select("class_id", "fid", both).withColumns({"kind": F.lit("passage"), "first_doc_id": F.col("fid")}).select(*shown).distinct()
-    return lined.unionByName(found)
+
+    def placed(doc: str, back: Column, kept: bool) -> Column:
+        return F.struct(F.col(doc).alias("doc_id"), (F.col("start") - back).alias("start"), (F.col("end") - back).alias("end"), F.lit(kept).alias("kept"))
+
+    both = F.inline(F.array(placed("id", F.lit(0), False), placed("fid", F.col("diag"), True)))
+    found = runs.select("class_id", "fid", both).withColumns({"kind": F.lit("passage"), "first_doc_id": F.col("fid")}).select(*lined.columns).distinct()
+
+    # windows that are like those of an earlier document, and equal to none
+    new = windows.groupBy("key").agg(F.min("id").alias("held"))
+    near = out.where("kind = 1 and mixed").join(new, "key").where((F.col("id") == F.col("held")) & (F.col("id") != F.col("first.id")) & (F.col("key") != F.col("first.key")))
+    near = near.select("class_id", "first", F.struct("id", "start", "end", F.lit(False).alias("kept")).alias("at"))
+    firsts = F.struct("first.id", "first.start", "first.end", F.lit(True).alias("kept"))
+    near = near.select("class_id", F.col("first.id").alias("fid"), F.inline(F.array("at", firsts)))
+    near = near.select(*shown, F.lit("passage").alias("kind"), "class_id", F.col("fid").alias("first_doc_id"), "kept").distinct()
+    return lined.unionByName(found).unionByName(near)
 
 
 def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

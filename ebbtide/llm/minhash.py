@@ -81,9 +81,14 @@ def _rows(col: pa.Array, dtype: str, wide: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8)[off[0] : off[-1]].view(dtype).reshape(len(col), wide)
 
 
-def sketch_forest(ids: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs whose sketches agree in `least` values."""
-    a, b = common.forest(len(ids), lambda i, rest: common.agreeing(sketch[rest], sketch[i]) >= least)
+def sketch_forest(ids: np.ndarray, sketch: np.ndarray, least: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose sketches agree in `least` values, and whose own differs or is 0."""
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        hit = common.agreeing(sketch[rest], sketch[i]) >= least
+        return hit if own is None or own[i] == 0 else hit & (own[rest] != own[i])
+
+    a, b = common.forest(len(ids), near)
     return ids[a], ids[b]
 
 
@@ -173,6 +178,13 @@ def set_forest(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | N
     return common.forest(len(sets), near)
 
 
+def _pair(x: np.ndarray, y: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.sort(np.concatenate([x, y]))
+    same = int((both[1:] == both[:-1]).sum())
+    linked = same > 0 and den * same >= num * (len(both) - same)
+    return np.zeros(int(linked), np.int64), np.ones(int(linked), np.int64)
+
+
 def confirm(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (component, bi, bj, id, items) by group, to confirmed edges (a, b)."""
     keys = ["component", "bi", "bj"]
@@ -181,7 +193,7 @@ def confirm(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         a, b = [], []
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
             sets = [np.frombuffer(x, np.uint64) for x in (y.as_buffer() for y in col.slice(lo, hi - lo))]
-            x, y = set_forest(sets, num, den)
+            x, y = _pair(*sets, num, den) if len(sets) == 2 else set_forest(sets, num, den)
             a.append(ids[lo:hi][x])
             b.append(ids[lo:hi][y])
         a, b = np.concatenate(a), np.concatenate(b)

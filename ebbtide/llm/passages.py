@@ -139,17 +139,20 @@ def units(batches: Iterator[pa.RecordBatch], window: int, shortest: int) -> Iter
 
 
 def screened(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (b, bi, bj, key, s1, s2) by band and block pair, to edges (a, b): a spanning forest of each group's pairs that pass the screen."""
+    """Rows (b, bi, bj, key, own, s1, s2) by band and block pair, to edges (a, b): a spanning forest of each group's pairs that pass the screen.
+
+    Rows of equal own, which is a document or 0 for none, aren't linked.
+    """
     keys = ["b", "bi", "bj"]
     for table in common.grouped(batches, keys):
-        at, ids = common.starts(table, keys), table.column("key").to_numpy()
+        at, ids, own = common.starts(table, keys), table.column("key").to_numpy(), table.column("own").to_numpy()
         sketch = np.stack([table.column(c).to_numpy() for c in ("s1", "s2")], 1).view(np.uint64)
         size = np.diff(at)
         two = at[:-1][size == 2]
-        two = two[common.agreeing(sketch[two], sketch[two + 1]) >= least]
+        two = two[(common.agreeing(sketch[two], sketch[two + 1]) >= least) & ((own[two] != own[two + 1]) | (own[two] == 0))]
         out = [(ids[two], ids[two + 1])]
         for i in np.flatnonzero(size > 2).tolist():
-            out.append(minhash.sketch_forest(ids[at[i] : at[i + 1]], sketch[at[i] : at[i + 1]], least))
+            out.append(minhash.sketch_forest(*(x[at[i] : at[i + 1]] for x in (ids, sketch)), least, own[at[i] : at[i + 1]]))
         a, b = (np.concatenate(x) for x in zip(*out))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -160,27 +163,30 @@ def stretch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, text in flat.chunks(batch.column(0)):
             h, _, _, woff = flat.words(*flat.span(text))
+            sh, _ = flat.shingles(h, np.array([0, len(h)]), SHINGLE)
             wanted = batch.column(1).slice(lo, hi - lo)
             item = wanted.flatten()
             first = np.repeat(woff[:-1], np.diff(np.asarray(wanted.offsets)))
             a, b, *rest = (item.field(i).to_numpy() for i in range(5))
             for i in range(0, len(a), 20_000):
-                items = []
-                for x, y in zip((first + a)[i : i + 20_000].tolist(), (first + b)[i : i + 20_000].tolist()):
-                    sh, _ = flat.shingles(h[x:y], np.array([0, y - x]), SHINGLE)
-                    items.append(np.unique(sh).tobytes())
+                ends = zip((first + a)[i : i + 20_000].tolist(), (first + b - SHINGLE + 1)[i : i + 20_000].tolist())
+                items = [np.unique(sh[x:y]).tobytes() for x, y in ends]
                 yield pa.RecordBatch.from_arrays([*(pa.array(r[i : i + 20_000]) for r in rest), pa.array(items, pa.binary())], names=["id", "component", "nb", "items"])
 
 
 def classes(two: DataFrame, units_: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of the keys of linked paragraphs."""
-    hung = units_.select("key", F.explode("bands").alias("b"))
-    crowded = hung.groupBy("b").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("b")
-    cand = common.materialise(hung.join(crowded, "b").distinct(), "passage-bands")
-    some = units_.join(cand.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "start", "end", "s1", "s2")).alias("at"))
-    some = common.materialise(some.select("key", "at.*"), "passage-some")
-    rows = cand.join(some.select("key", "s1", "s2"), "key").withColumn("one", F.lit(1))
-    rows = common.clustered(common.block_pairs(rows, ["b"], "one", "key", HOLD), ["b", "bi", "bj"]).select("b", "bi", "bj", "key", "s1", "s2")
+    # windows of one document only are of no interest to each other: they overlap
+    hung = units_.select("key", "kind", "id", F.explode("bands").alias("b"))
+    crowded = hung.groupBy("b").agg(*[f(c).alias(f"{n}_{c}") for c in ("key", "id") for n, f in (("low", F.min), ("high", F.max))], F.max("kind").alias("kind"))
+    crowded = crowded.where("low_key < high_key and (kind = 0 or low_id < high_id)").select("b")
+    cand = common.materialise(hung.select("key", "b").join(crowded, "b").distinct(), "passage-bands")
+    some = units_.join(cand.select("key").distinct(), "key", "left_semi").groupBy("key", "kind")
+    some = some.agg(F.min(F.struct("id", "start", "end", "s1", "s2")).alias("at"), F.max("id").alias("last"))
+    own = F.when((F.col("kind") == 1) & (F.col("at.id") == F.col("last")), F.xxhash64("last")).otherwise(F.lit(0).cast("long"))
+    some = common.materialise(some.select("key", "at.*", own.alias("own")), "passage-some")
+    rows = cand.join(some.select("key", "own", "s1", "s2"), "key").withColumn("one", F.lit(1))
+    rows = common.clustered(common.block_pairs(rows, ["b"], "one", "key", HOLD), ["b", "bi", "bj"]).select("b", "bi", "bj", "key", "own", "s1", "s2")
     least = common.screen(VALUES, num, den, SCREENED)
     met = common.connected_components(rows.mapInArrow(lambda it: screened(it, least), "a long, b long"))
 

@@ -43,7 +43,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if _scopes:
         _scopes[-1].append(path)
     else:
-        atexit.register(_remove, spark, path)
+        atexit.register(remove, spark, path)
     return path
 
 
@@ -55,10 +55,11 @@ def scratch_scope(spark: SparkSession):
         yield
     finally:
         for path in _scopes.pop():
-            _remove(spark, path)
+            remove(spark, path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -78,7 +79,7 @@ def drop_scratch(df: DataFrame) -> None:
     """Deletes a table made by materialise(), once nothing lazy reads it any more."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         if "/ebbtide/" in f:
-            _remove(df.sparkSession, f)
+            remove(df.sparkSession, f)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -1,9 +1,10 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
 Trained in numpy by backpropagation through time on windows of a bounded sample.  Every byte of a text
-gets a distribution over the languages; the document's is their mean.  Texts are read whole, in windows of
+gets a distribution over the languages; the document's is their mean.  Texts are read whole, in stretches of
 WINDOW bytes that run as one batch, so the cost follows the bytes and a very long text needs no more
-memory than a short one.  A-Z count as a-z.
+memory than a short one.  Both directions start afresh, from zero states, in every stretch: a byte is labelled from
+what its stretch holds.  A-Z count as a-z.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import common, flat
 
-#: The bounds of the training sample: documents of a language, characters of one, documents in all.
-PER_LANG, SAMPLE_CHARS, SAMPLE_DOCS = 300, 2000, 20_000
+#: The bounds of the training sample: documents of a language, documents in all, and stretches of EXCERPT characters drawn from all over each.
+PER_LANG, SAMPLE_DOCS, EXCERPTS, EXCERPT = 300, 20_000, 32, 40
 HIDDEN, WINDOW, BATCH = 8, 128, 2048
 
 
@@ -164,17 +165,25 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 260, batch: int = 96,
     return m
 
 
-def training_sample(docs: DataFrame, per_lang: int = PER_LANG, chars: int = SAMPLE_CHARS) -> tuple[list[bytes], list[str]]:
-    """At most per_lang documents of a language outside part 2, by a hash of their ids, and a stretch of at most `chars` characters of each."""
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[bytes], list[str]]:
+    """EXCERPTS stretches of each of at most per_lang texts of a language outside part 2, drawn by a hash of their ids.
+
+    Only ids, languages and hashes of texts are ranked; what is drawn is a row, so a doc_id may have several, null texts among them.
+    The stretches begin anywhere in the whole text.
+    """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(common.crc_part("doc_id") != 2)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "doc_id"), "doc_id"))
-    drawn = known.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= per_lang)
-    drawn = drawn.orderBy("rank", "lang").limit(SAMPLE_DOCS).select(F.col("doc_id").alias("drawn"), F.col("lang").alias("known"))
-    at = F.pmod(F.xxhash64(F.lit("at"), "doc_id"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    # at most SAMPLE_DOCS pairs of an id and a language's name are broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("drawn"))
-    rows = rows.select("doc_id", "known", F.substr("text", at, F.lit(chars)).alias("text")).orderBy("doc_id", "known", "text").limit(SAMPLE_DOCS).collect()
-    return [r["text"].encode() for r in rows], [r["known"] for r in rows]
+    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    mark = F.xxhash64("text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "doc_id"), "doc_id", "mark"))
+    drawn = known.select("doc_id", "lang", mark.alias("mark")).withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    drawn = drawn.orderBy("rank", "lang", "doc_id", "mark").limit(SAMPLE_DOCS).select("doc_id", "lang", "mark").distinct()
+    # at most SAMPLE_DOCS rows of an id, a language's name and a number are broadcast
+    rows = known.withColumn("mark", mark).join(F.broadcast(drawn), ["doc_id", "lang", "mark"])
+    places = F.greatest(F.length("text") - EXCERPT + 1, F.lit(1))
+    begin = F.transform(F.sequence(F.lit(1), F.lit(EXCERPTS)), lambda i: F.pmod(F.xxhash64("doc_id", "mark", i), places).cast("int") + 1)
+    rows = rows.select("lang", "doc_id", "mark", F.transform(begin, lambda i: F.substr("text", i, F.lit(EXCERPT))).alias("parts"))
+    rows = rows.dropDuplicates(["doc_id", "lang", "mark"]).orderBy("doc_id", "lang", "mark").collect()
+    return [x.encode() for r in rows for x in r["parts"]], [r["lang"] for r in rows for _ in r["parts"]]
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

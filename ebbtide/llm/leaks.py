@@ -9,11 +9,15 @@ budget is lost, and none is reported that has more edits.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from ebbtide.llm import common, flat
 Q, BUDGET = 10, 8
 #: Characters of benchmark items that one pass over the documents holds in memory; more items take more passes.
 PASS_CHARS = 8_000_000
+#: Hits, and characters of alignments, that are held at a time.
+HITS, ALIGNED = 2_000_000, 8_000_000
 BITS = 22
 U = np.uint64
 _KEEP = np.full(256, 32, np.uint8)
@@ -111,6 +117,15 @@ def align(item: np.ndarray, windows: np.ndarray, wide: int) -> np.ndarray:
     return d.min(1)
 
 
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """Rows (text, item, band, n) with n summed by the others."""
+    rows = rows[np.lexsort(rows[:, 2::-1].T)]
+    new = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1))) if len(rows) else np.empty(0, np.int64)
+    out = rows[new]
+    out[:, 3] = np.add.reduceat(rows[:, 3], new) if len(new) else 0
+    return out
+
+
 def find(text: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, edits) of all items met within their budget; the best place of each pair."""
     none = np.empty(0, np.int64)
@@ -123,36 +138,41 @@ def find(text: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if not len(hit):
         return none, none, none
     n = items.at[k + 1] - items.at[k]
-    if (long := int(n.sum())) > 4_000_000 and len(text) > 1:  # crowded: halve
-        mid = len(text) // 2
-        a, b = find(text.slice(0, mid), items), find(text.slice(mid), items)
-        return np.concatenate([a[0], b[0] + mid]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]])
-    ix = np.repeat(items.at[k] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(long)
-    item, where = items.item[ix], np.repeat(hit, n)
-    doc = np.searchsorted(off, where, "right") - 1
-    diag = where - items.place[ix] + int(items.size.max())
-    e = items.edits[item]
-    # bands of 2(e + 1) diagonals, one every e + 1: any e + 1 neighbours are inside one band
-    both = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([diag // (e + 1), diag // (e + 1) - 1])], 1)
-    order = np.lexsort(both.T[::-1])
-    y = both[order]
-    new = np.flatnonzero(np.append(True, (y[1:] != y[:-1]).any(1)))
-    count = np.diff(np.append(new, len(y)))
-    cand = y[new[count >= items.least[y[new, 1]]]]
+    total = np.concatenate([[0], np.cumsum(n)])
+    parts, i = [], 0
+    while i < len(hit):  # hits a few at a time; of each only how many fall into a band is kept
+        j = max(i + 1, int(np.searchsorted(total, total[i] + HITS, "right")) - 1)
+        m = n[i:j]
+        ix = np.repeat(items.at[k[i:j]] - total[i:j], m) + np.arange(total[i], total[j])
+        item, where = items.item[ix], np.repeat(hit[i:j], m)
+        doc = np.searchsorted(off, where, "right") - 1
+        diag = where - items.place[ix] + int(items.size.max())
+        e = items.edits[item]
+        # bands of 2(e + 1) diagonals, one every e + 1: any e + 1 neighbours are inside one band
+        rows = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([diag // (e + 1), diag // (e + 1) - 1]), np.ones(2 * len(doc), np.int64)], 1)
+        parts.append(_counted(rows))
+        if len(parts) > 8:
+            parts = [_counted(np.concatenate(parts))]
+        i = j
+    y = _counted(np.concatenate(parts))
+    cand = y[y[:, 3] >= items.least[y[:, 1]]]
     out_doc, out_item, out_edits = [], [], []
     for it in np.unique(cand[:, 1]).tolist():
-        rows = cand[cand[:, 1] == it]
+        every = cand[cand[:, 1] == it]
         m, e1 = int(items.size[it]), int(items.edits[it]) + 1
         wide = 2 * e1 + 2 * (e1 - 1)
-        begin = rows[:, 2] * e1 - int(items.size.max()) - (e1 - 1)
-        j = begin[:, None] + np.arange(m + wide)
-        inside = (j >= off[rows[:, 0]][:, None]) & (j < off[rows[:, 0] + 1][:, None])
-        w = np.where(inside, x[np.clip(j, 0, len(x) - 1)], 0)
-        d = align(items.text[it], w, wide)
-        good = d <= items.edits[it]
-        out_doc.append(rows[good, 0])
-        out_item.append(rows[good, 1])
-        out_edits.append(d[good])
+        step = max(1, ALIGNED // (m + wide))
+        for i in range(0, len(every), step):
+            rows = every[i : i + step]
+            begin = rows[:, 2] * e1 - int(items.size.max()) - (e1 - 1)
+            j = begin[:, None] + np.arange(m + wide)
+            inside = (j >= off[rows[:, 0]][:, None]) & (j < off[rows[:, 0] + 1][:, None])
+            w = np.where(inside, x[np.clip(j, 0, len(x) - 1)], 0)
+            d = align(items.text[it], w, wide)
+            good = d <= items.edits[it]
+            out_doc.append(rows[good, 0])
+            out_item.append(rows[good, 1])
+            out_edits.append(d[good])
     if not out_doc:
         return none, none, none
     doc, item, edits = np.concatenate(out_doc), np.concatenate(out_item), np.concatenate(out_edits).astype(np.int64)
@@ -168,24 +188,59 @@ def leaks(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET, pass_char
     Text is reduced to lower-case letters (a-z, and those of Latin-1) and digits, other runs to one space.  An
     item of m reduced characters may have m * budget // 100 edits (at most m // 10 - 1).  Items that are null or shorter than 10
     reduced characters, null texts and null ids match nothing; rows that repeat an id count once, with the least
-    edits.  The items reach the executors inside the function, a pass for every pass_chars characters of them.
+    edits.  A part of an item, however long, is no leak.  The items reach the executors as an index file in the shared folder, one for every
+    pass_chars characters of them, each with a pass over the documents of its own.
     """
+    spark = docs.sparkSession
     known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // pass_chars))
     two = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    schema = "doc_id long, item_id long, edits int, item_chars int"
     out = None
     for p in range(passes):
-        rows = known.where(F.pmod(F.xxhash64(F.lit("pass"), "item_id", "text"), F.lit(passes)) == p).collect()  # about pass_chars characters
-        items = index([r[0] for r in rows], [r[1] for r in rows], budget)
-        part = two.mapInArrow(_run(items), schema)
+        root = common.scratch_path(spark, "leak-items")
+        mine = known.where(F.pmod(F.xxhash64(F.lit("pass"), "item_id", "text"), F.lit(passes)) == p)  # about pass_chars characters
+        made = mine.repartition(1).mapInArrow(_build(root, budget), "path string").collect()  # one path
+        part = two.mapInArrow(_run(made[0][0]), SCHEMA) if made else spark.createDataFrame([], SCHEMA)
+        if passes > 1:  # then an index is gone before the next is made
+            part = common.materialise(part, "leaks")
+            common.remove(spark, root)
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.min_by("item_chars", "edits").alias("item_chars"))
 
 
-def _run(items: Items):
+SCHEMA = "doc_id long, item_id long, edits int, item_chars int"
+
+
+def _build(root: str, budget: int):
+    """Rows (item_id, text) of one task to a file that holds their index; its path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        if ids:
+            system, at = fs.FileSystem.from_uri(root)
+            system.create_dir(at, recursive=True)
+            name = uuid.uuid4().hex  # an attempt that is lost leaves a file that nothing reads
+            with system.open_output_stream(f"{at}/{name}") as f:
+                f.write(pickle.dumps(index(ids, texts, budget)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"])], names=["path"])
+
+    return run
+
+
+@lru_cache(1)
+def _loaded(path: str) -> Items:
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(at) as f:
+        return pickle.loads(f.read())  # our own file of this run
+
+
+def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = _loaded(path)
         for batch in batches:
             for lo, hi, text in flat.chunks(batch.column(1)):
                 doc, item, edits = find(text, items)

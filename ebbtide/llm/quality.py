@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import common, flat
 
-#: The bounds of the training sample: documents, characters of one (longer ones aren't drawn), and lines of one.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LINES = 3000, 100_000, 400
+#: The bound of the training sample: labelled documents, which are read whole.
+SAMPLE_DOCS = 3000
 _CLASSES = [b"#$%&*|<>=~^@\\{}[]_+/", b"!", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"|", bytes(range(128, 256)), b".,;:", bytes(range(97, 123))]
 _LUT = np.zeros((len(_CLASSES), 256), np.uint8)
 for _i, _c in enumerate(_CLASSES):
@@ -162,8 +162,6 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 2, steps: int = 200)
     parts = [line_features(part) for _, _, part in flat.chunks(pa.array(texts, pa.string()))] if texts else []
     f = np.concatenate([np.zeros((0, WIDE)), *[p[0] for p in parts]])
     n = np.concatenate([np.zeros(0, np.int64), *[np.diff(p[2]) for p in parts]])
-    long = np.arange(len(f)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
-    f, n = f[long < SAMPLE_LINES], np.minimum(n, SAMPLE_LINES)
     loff = np.concatenate([[0], np.cumsum(n)])
     mean, scale = (f.mean(0), f.std(0) + 1e-3) if len(f) else (np.zeros(WIDE), np.ones(WIDE))
     x = with_neighbours((f - mean) / scale, loff)
@@ -213,12 +211,15 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """At most `limit` labelled documents outside part 2, drawn by a hash of their ids (the classifier's documented bound)."""
+    """At most `limit` labelled documents outside part 2, drawn by a hash of their ids (the classifier's documented bound).
+
+    A doc_id whose labels contradict each other counts as 0; of texts that share a drawn id each is taken, up to the limit.
+    """
     known = labels.where("quality in (0, 1) and doc_id is not null").where(common.crc_part("doc_id") != 2)
     known = known.groupBy(F.col("doc_id").alias("labelled")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     known = known.orderBy(F.xxhash64(F.lit("quality"), "labelled"), "labelled").limit(limit)
     both = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))  # at most `limit` pairs of numbers
-    rows = both.where(F.length("text") <= SAMPLE_CHARS).orderBy("doc_id").limit(limit).select("text", "quality").collect()
+    rows = both.where("text is not null").orderBy("doc_id", F.xxhash64("text")).limit(limit).select("text", "quality").collect()
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
 
 
@@ -226,7 +227,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, th
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
     Only labels of documents whose crc32(doc_id as text) mod 4 isn't 2 are learnt from, and only text is
-    an input of a score.  A text that is null, empty or blank gets the share of good documents
+    an input of a score; contradicting labels of one doc_id count as 0.  A text that is null, empty or blank gets the share of good documents
     among the training labels (smoothed).  Labels other than 0 and 1 are ignored; without labels of both
     classes every score is that share, 0.5 when there are none.  held_out is false for a null doc_id.
     """

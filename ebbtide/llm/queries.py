@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm import chats, langid, leaks, minhash, mixing, passages, quality, suffixes, tokens, vectors
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Target weights of the mixture; every other source shares one weight of 1.
 TARGET = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3, "src5": 2, "src6": 2, "src7": 2, **{f"src{i}": 1 for i in range(8, 20)}}
 
@@ -44,7 +45,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,6 @@ from ebbtide.llm import common
 
 #: Identifiers in a block, and roughly the most in a file.
 BLOCK, FILE = 4_000_000, 64_000_000
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 @lru_cache(2)
@@ -37,22 +37,26 @@ def _encoding(path: str):
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str | None, vocabulary: str = VOCABULARY) -> list[int]:
+def encode(text: str | None, vocabulary: str) -> list[int]:
     """Identifiers of a text; what looks like a special token is ordinary text."""
     return _encoding(vocabulary).encode_ordinary(text) if text else []
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, eod: int = 50256, dtype: str = "<u2", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, eod: int = 50256, dtype: str = "<u2", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes token files under path; returns the order (file, ordinal, doc_id, tokens) of their documents.
 
     A file's name is new in every attempt of a task, and only files of attempts that ended are in the result, so a lost
-    executor leaves at most a file that nothing reads.  `tokens` is the file's size.  A null text counts as empty.
+    executor leaves at most a file that nothing reads.  `tokens` is the file's size.  A null text counts as empty.  The vocabulary is
+    a path or address on the driver; the file goes to the executors with the job.
     """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    shipped = vocabulary.rstrip("/").rsplit("/", 1)[-1]
     two = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path)
         system.create_dir(root, recursive=True)
+        ranks = SparkFiles.get(shipped)
         for group in _files(batches):
             name = f"{root}/{uuid.uuid4().hex}.bin"
             total, ids = 0, []
@@ -60,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, eod:
                 for col, texts in group:
                     ids.append(col)
                     for t in texts:
-                        x = np.array([*encode(t.as_py(), vocabulary), eod], dtype)
+                        x = np.array([*encode(t.as_py(), ranks), eod], dtype)
                         total += len(x)
                         out.write(x.tobytes())
             n = sum(map(len, ids))
@@ -123,7 +127,7 @@ def separators(files: DataFrame, uri: str, eod: int = 50256, dtype: str = "<u2",
     return out.select("file", (F.col("before") + F.col("k")).alias("ordinal"), "end", (F.col("end") - F.coalesce("previous", "reached") - 1).alias("length"))
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, eod: int = 50256, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, eod: int = 50256, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens), one row per row of docs: encodes to flat files in the shared folder and counts there.
 
     Null and empty texts have 0 tokens.  A null doc_id is a row like others.  The vocabulary must not use `eod`.

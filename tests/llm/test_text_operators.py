@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import common, flat, langid, leaks, minhash, mixing, passages, quality, suffixes, tokens
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -463,6 +464,22 @@ def test_leaks_against_brute_force(spark):
     assert stay.columns == ["doc_id", "text", "item_id"] and {r.doc_id for r in stay.collect()} == {None, *texts} - {d for d, _ in want}
 
 
+def test_leaks_in_passes_and_of_crowded_texts(spark, monkeypatch):
+    items = [(1, "ab " * 40), (2, "the quick brown fox jumps over the lazy dog again and again"), (3, "ab ab ab ab ab cd ab ab ab ab")]
+    texts = [(1, "ab " * 5000), (2, "x " * 300 + items[1][1]), (3, ("ab " * 30 + "cd ") * 50), (4, "nothing of it here")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    want = shown(leaks.leaks(docs, bench))
+    assert {x[:2] for x in want} >= {(1, 1), (2, 2), (3, 3)} and not any(x[0] == 4 for x in want)
+    assert shown(leaks.leaks(docs, bench, pass_chars=60)) == want
+    index = leaks.index([i for i, _ in items], [t for _, t in items])
+    column = pa.array([t for _, t in texts])
+    whole = [x.tolist() for x in leaks.find(column, index)]
+    monkeypatch.setattr(leaks, "HITS", 50)
+    monkeypatch.setattr(leaks, "ALIGNED", 500)
+    assert [x.tolist() for x in leaks.find(column, index)] == whole
+
+
 # -- mixing -----------------------------------------------------------------------------------------
 
 
@@ -538,6 +555,18 @@ def test_quality_of_odd_tables(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_quality_trains_on_whole_texts(spark):
+    """What tells a document's quality may stand after any number of lines and characters."""
+    good, bad = "a calm line of words that says something new.\n", "CLICK HERE!!! $$$ BUY NOW | FREE | ###\n"
+    rows = [(i, ("plain words stand here first, " * 10 + "\n") * 410 + (good if i % 2 else bad) * 600, "en", "s", 1) for i in range(12)]
+    assert min(len(r[1]) for r in rows) > 120_000
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = quality.score(spark.createDataFrame(rows, DOCS), labels).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+    texts, y = quality.training_sample(spark.createDataFrame(rows * 2 + [(1, None, "en", "s", 0)], DOCS), labels.unionByName(labels.withColumn("quality", F.lit(0))))
+    assert set(y) == {0.0} and all(len(t) > 90_000 for t in texts)
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(2)
     loff, trans = np.array([0, 1, 1, 5, 8]), rng.normal(size=(2, 2))
@@ -578,6 +607,48 @@ def test_language_of_odd_tables(spark, docs):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_of_repeated_ids_and_long_texts(spark):
+    rows = [(i, None if i % 3 == 0 else "der und die" if lang == "de" else "the and of", lang, "s", 1) for i in (1, 2, 3, 5, 6, 8, 9) for lang in ("de", "en") for _ in (0, 1)]
+    rows += [(i, None, lang, "s", 0) for i in (1, 2) for lang in ("de", "en")] + [(7, "und der " * 60_000, "de", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = langid.identify(docs).collect()
+    assert len(got) == len(rows) and sum(r.lang_pred == "und" for r in got) == sum(r[1] is None for r in rows)
+    texts, langs = langid.training_sample(docs)
+    assert all((lang == "de") == (b"d" in t and b"e" in t and b"r" in t or b"und" in t) for t, lang in zip(texts, langs))
+    assert len(texts) <= langid.EXCERPTS * len(rows) and max(map(len, texts)) <= langid.EXCERPT
+    # of a long text, any part may be drawn
+    long = spark.createDataFrame([(0, "".join(chr(97 + k // 1000) for k in range(26_000)), "x", "s", 1)], DOCS)
+    assert len({t[0] for t in langid.training_sample(long)[0]}) > 8
+
+
+def test_every_byte_is_labelled():
+    """The pooled probabilities against a plain loop over the bytes of every stretch."""
+    rng = np.random.Generator(np.random.PCG64(1))
+    model = langid.fit([b"aab" * 30, b"ccd" * 30, b"xyz" * 30], ["p", "q", "r"], steps=5)
+    texts = ["", "a", "B", "cd" * 64, "x" * 129, bytes(rng.integers(97, 123, 700, dtype=np.uint8)).decode(), "é" * 100]
+
+    def states(d, stretch):
+        h, out = np.zeros(langid.HIDDEN), []
+        for byte in stretch:
+            x, a = d.table[:, byte].astype(float), d.u.astype(float) @ h
+            n = langid.HIDDEN
+            z, r = (1 / (1 + np.exp(-(x[k * n : k * n + n] + a[k * n : k * n + n]))) for k in (0, 1))
+            c = np.tanh(x[2 * n :] + r * a[2 * n :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    for t, got in zip(texts, model.probabilities(pa.array(texts))):
+        data, total = t.lower().encode(), np.zeros(3)
+        for i in range(0, len(data), langid.WINDOW):
+            stretch = data[i : i + langid.WINDOW]
+            ahead, back = states(model.fore, stretch), states(model.back, stretch[::-1])[::-1]
+            for f, b in zip(ahead, back):
+                y = np.exp(model.out @ np.concatenate([f, b]) + model.bias)
+                total += y / y.sum()
+        assert np.allclose(got, total / max(len(data), 1), atol=1e-4)
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(0)
     d = langid.Direction(rng.normal(0, 0.5, (24, 256)), rng.normal(0, 0.5, (24, 8)))
@@ -610,11 +681,11 @@ def test_gru_gradients():
 def test_token_counts(spark, docs, rows):
     text = {r[0]: r[1] for r in rows}
     for block in (97, 4_000_000):
-        got = tokens.token_counts(docs, block=block).collect()
-        assert len(got) == len(rows) and all(r.n_tokens == len(tokens.encode(text[r.doc_id])) for r in got)
-    assert tokens.token_counts(docs.limit(0)).count() == 0
+        got = tokens.token_counts(docs, VOCABULARY, block=block).collect()
+        assert len(got) == len(rows) and all(r.n_tokens == len(tokens.encode(text[r.doc_id], VOCABULARY)) for r in got)
+    assert tokens.token_counts(docs.limit(0), VOCABULARY).count() == 0
     special = spark.createDataFrame([(1, "a<|endoftext|>b", 5), (1, "a<|endoftext|>b", 5)], "doc_id long, text string, tokens int")
-    assert [r.n_tokens for r in tokens.token_counts(special).collect()] == [len(tokens.encode("a<|endoftext|>b"))] * 2
+    assert [r.n_tokens for r in tokens.token_counts(special, VOCABULARY).collect()] == [len(tokens.encode("a<|endoftext|>b", VOCABULARY))] * 2
 
 
 def test_separators_of_files(spark, tmp_path):
@@ -641,4 +712,4 @@ def test_tokens_are_those_of_the_public_pattern():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     e = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for t in ("It's  a\n\n test,  1234 ñandú!! \t ", "  ", "x" * 200, "don't we'll\r\n"):
-        assert tokens.encode(t) == e.encode_ordinary(t)
+        assert tokens.encode(t, VOCABULARY) == e.encode_ordinary(t)

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from ebbtide.llm import common, flat, minhash
 
 WINDOW, SHINGLE, SHORTEST = 20, 5, 5
-#: Bands of two values. A line at similarity 0.8 is missed with a chance of 1 in 1,000. Unequal windows of 16 shingles at 0.8 share 15 of 17,
+#: Bands of two values. A line at similarity 0.8 is missed with a chance of 2 in 1,000. Unequal windows of 16 shingles at 0.8 share 15 of 17,
 #: so two bands miss 1 in 20 of them.
-LINE_BANDS, WINDOW_BANDS = 7, 2
+LINE_BANDS, WINDOW_BANDS = 6, 2
 #: Two-bit values of a sketch; one pair in 10,000 at similarity 0.8 fails the screen.
 VALUES, SCREENED = 64, 1e-4
 #: A window begins at a minimiser of 28 4-grams: any 51 words hold a whole window of 20.
@@ -122,6 +122,7 @@ def units(batches: Iterator[pa.RecordBatch], window: int, shortest: int) -> Iter
             if len(lines):
                 at, sums = _few(sh, start[lines], end[lines] - SHINGLE + 1)
                 band[lines[at], 0], count[lines[at]] = sums, 1  # at 0.8 such sets are equal
+            band = band & ~np.uint64(1) | kind.astype(np.uint64)[:, None]  # the last bit tells windows
             doc = np.searchsorted(woff, start, "right") - 1
             inside = kind == 1
             before, after = np.zeros((2, len(n)), np.int32)
@@ -138,6 +139,19 @@ def units(batches: Iterator[pa.RecordBatch], window: int, shortest: int) -> Iter
             )
 
 
+def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (b, key, id) by b and key, to distinct (b, key) of bands that hold several keys, and if they are windows several documents."""
+    for table in common.grouped(batches, ["b"]):
+        b, key, ids = (table.column(c).to_numpy() for c in ("b", "key", "id"))
+        at = common.starts(table, ["b"])
+        lo, hi = at[:-1], at[1:] - 1
+        met = (key[lo] != key[hi]) & ((b[lo] & 1 == 0) | (np.minimum.reduceat(ids, lo) < np.maximum.reduceat(ids, lo)))
+        row = np.repeat(met, np.diff(at))
+        row[1:] &= (b[1:] != b[:-1]) | (key[1:] != key[:-1])
+        if row.any():
+            yield pa.RecordBatch.from_arrays([pa.array(b[row]), pa.array(key[row])], names=["b", "key"])
+
+
 def screened(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Rows (b, bi, bj, key, own, s1, s2) by band and block pair, to edges (a, b): a spanning forest of each group's pairs that pass the screen.
 
@@ -176,11 +190,9 @@ def stretch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes(two: DataFrame, units_: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of the keys of linked paragraphs."""
-    # windows of one document only are of no interest to each other: they overlap
-    hung = units_.select("key", "kind", "id", F.explode("bands").alias("b"))
-    crowded = hung.groupBy("b").agg(*[f(c).alias(f"{n}_{c}") for c in ("key", "id") for n, f in (("low", F.min), ("high", F.max))], F.max("kind").alias("kind"))
-    crowded = crowded.where("low_key < high_key and (kind = 0 or low_id < high_id)").select("b")
-    cand = common.materialise(hung.select("key", "b").join(crowded, "b").distinct(), "passage-bands")
+    # every band row moves once; windows of one document only are of no interest to each other, they overlap
+    hung = common.clustered(units_.select(F.explode("bands").alias("b"), "key", "id"), ["b"], ["key"])
+    cand = common.materialise(hung.mapInArrow(crowded, "b long, key long"), "passage-bands")
     some = units_.join(cand.select("key").distinct(), "key", "left_semi").groupBy("key", "kind")
     some = some.agg(F.min(F.struct("id", "start", "end", "s1", "s2")).alias("at"), F.max("id").alias("last"))
     own = F.when((F.col("kind") == 1) & (F.col("at.id") == F.col("last")), F.xxhash64("last")).otherwise(F.lit(0).cast("long"))

@@ -48,8 +48,32 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+#: The tools that tool_dialogue() calls: (name, parameter, type, required).
+TOOLS = [("measure", "chars", "integer", True), ("measure", "after", "string", False)]
+
+
+def tool_dialogue(conversations: DataFrame) -> DataFrame:
+    """conversations (conv_id, turn, role, text) with a call and a result besides every assistant's message.
+
+    The call c<turn> measures the message and needs the one of two turns before; the message's length decides what is wrong with it: a tool that
+    isn't listed (divisible by 5), a number as text (3), an unknown argument (7), a missing one (11), no result (13).
+    """
+    n, turn = F.length(F.coalesce("text", F.lit(""))), F.col("turn").cast("string")
+    chars = F.when(n % 11 != 0, F.concat(F.lit('"chars":'), F.when(n % 3 == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n.cast("string"))))
+    after = F.when(F.col("turn") >= 2, F.concat(F.lit('"after":"${c'), (F.col("turn") - 2).cast("string"), F.lit('}"')))
+    args = F.concat_ws(",", chars, F.when(n % 7 == 0, '"note":"x"'), after)
+    name = F.when(n % 5 == 0, "unlisted").otherwise("measure")
+    call = F.concat(F.lit('{"tool_calls":[{"id":"c'), turn, F.lit('","name":"'), name, F.lit('","arguments":{'), args, F.lit("}}]}"))
+    result = F.concat(F.lit('{"tool_call_id":"c'), turn, F.lit('","content":"'), F.md5(F.coalesce("text", F.lit(""))), F.lit('"}'))
+    own = F.struct("role", "text")
+    more = F.array(own, F.struct(F.lit("assistant").alias("role"), call.alias("text")), F.when(n % 13 != 0, F.struct(F.lit("tool").alias("role"), result.alias("text"))))
+    rows = F.when(F.col("role") == "assistant", F.array_compact(more)).otherwise(F.array(own))
+    return conversations.select("conv_id", "turn", F.explode(rows).alias("m")).select("conv_id", "turn", "m.*")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chats.formatted(_table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(TOOLS, "name string, parameter string, type string, required boolean")
+    rows = chats.formatted(tool_dialogue(_table(spark, sf_dir, "conversations")), schemas)
     return rows.withColumn("problems", F.array_join("problems", ","))
 
 
@@ -92,10 +116,22 @@ _REPEATED = f"""WITH {_WORDS},
 SELECT doc_id, min(i) AS start, max(i) + 50 AS "end", max(i) + 50 - min(i) AS n_words FROM k GROUP BY doc_id, run"""
 
 
+_CHATS = '''WITH a AS (SELECT conv_id, turn, md5(coalesce(text, '')) h, length(coalesce(text, '')) n FROM conversations WHERE role = 'assistant'),
+ c AS (SELECT a.*, 'c' || turn id, n % 5 = 0 odd, EXISTS (SELECT 1 FROM a b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2) met FROM a),
+ r AS (
+  SELECT conv_id, turn, 0 place, 'message' kind, NULL::VARCHAR call_id, json_object('content', text, 'role', role)::VARCHAR j, '' problems FROM conversations
+  UNION ALL SELECT conv_id, turn, 1, 'call', id,
+   '{"arguments":{' || concat_ws(',', CASE WHEN turn >= 2 THEN '"after":"${c' || (turn - 2) || '}"' END,
+     CASE WHEN n % 11 <> 0 THEN '"chars":' || CASE WHEN n % 3 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END END, CASE WHEN n % 7 = 0 THEN '"note":"x"' END)
+    || '},"id":"' || id || '","name":"' || CASE WHEN odd THEN 'unlisted' ELSE 'measure' END || '","role":"assistant"}',
+   concat_ws(',', CASE WHEN n % 11 = 0 AND NOT odd THEN 'missing_argument' END, CASE WHEN n % 13 = 0 THEN 'no_result' END,
+    CASE WHEN n % 7 = 0 AND NOT odd THEN 'unknown_argument' END, CASE WHEN turn >= 2 AND NOT met THEN 'unknown_need' END,
+    CASE WHEN odd THEN 'unknown_tool' END, CASE WHEN n % 3 = 0 AND n % 11 <> 0 AND NOT odd THEN 'wrong_type' END) FROM c
+  UNION ALL SELECT conv_id, turn, 2, 'result', id, '{"content":"' || h || '","role":"tool","tool_call_id":"' || id || '"}', '' FROM c WHERE n % 13 <> 0)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY place, j) - 1 AS step, kind, call_id, j AS json, problems FROM r'''
+
+
 def oracle_sql() -> dict[str, str]:
-    # no text of the table is a call or a result
-    chat = """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY j) - 1 AS step, 'message' AS kind, NULL::VARCHAR AS call_id, j AS json, '' AS problems
-FROM (SELECT conv_id, turn, json_object('content', text, 'role', role)::VARCHAR AS j FROM conversations)"""
     return {
-        "op1_minhash_near_dedup": _NEAR, "op3_suffix_dedup": _REPEATED, "op4_mixing": mixing.mixed_sql(TARGET), "op6_chat_format": chat, "op7_embedding_near_dedup": _VECTORS,
+        "op1_minhash_near_dedup": _NEAR, "op3_suffix_dedup": _REPEATED, "op4_mixing": mixing.mixed_sql(TARGET), "op6_chat_format": _CHATS, "op7_embedding_near_dedup": _VECTORS,
     }

@@ -1,9 +1,11 @@
 import json
+import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
-from ebbtide.llm import chats
+from ebbtide.llm import chats, common, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -80,6 +82,34 @@ def test_deep_chain(spark):
     assert [(r.kind, r.call_id) for r in got] == [(k, f"c{i}") for i in range(n) for k in ("call", "result")] and all(not r.problems for r in got)
 
 
+def test_levels_of_chains_forks_and_circles(spark, monkeypatch):
+    rng, needs = random.Random(3), {}
+    for i in range(70):
+        needs[i] = [i - 1] if i and i < 40 else sorted(rng.sample(range(i), rng.choice([0, 1, 1, 2]))) if i else []
+    needs |= {100: [101], 101: [102], 102: [100], 103: [100, 5], 104: [103]}
+    turns = {i: rng.randrange(500) for i in needs}
+    rows = [(1, turns[i], "assistant", call((f"c{i}", "get", {"key": " ".join(f"${{c{k}}}" for k in v)}))) for i, v in needs.items()]
+    want = {}
+    for i in range(70):
+        want[i] = (max((want[k][0] + 1 for k in needs[i]), default=0), max([turns[i], *(want[k][1] for k in needs[i])]))
+    rounds, write = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    got = chats.levels(chats.parsed(spark.createDataFrame(rows, SCHEMA))[1]).collect()
+    assert {int(r.call_id[1:]): (r.level, r.ready) for r in got} == want and rounds.count("chat-needs") < 20
+
+
+def test_the_query_against_sql(spark, tmp_path):
+    rows = [(1, t, "assistant" if t % 2 else "user", "x" * k) for t, k in enumerate((3, 9, 4, 22, 7, 13, 5, 91, 0, 77))] + [(2, 3, "assistant", None), (2, 4, "user", None), (3, 0, "system", "é\n\"")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(queries.oracle_sql()["op6_chat_format"]).fetchall()
+    got = queries.op6_chat_format(spark, str(tmp_path))
+    shown = [tuple(r) for r in got.select("conv_id", "turn", "step", "kind", "call_id", "json", "problems").collect()]
+    assert sorted(shown, key=str) == sorted(want, key=str)
+    assert {p for r in shown for p in r[6].split(",")} >= {"missing_argument", "no_result", "unknown_argument", "unknown_need", "unknown_tool", "wrong_type"}
+
+
 def test_empty_and_long(spark):
     assert run(spark, []).count() == 0
     assert run(spark, [(1, 0, "user", "x" * 500_000), (1, 1, "assistant", call(("a", "get", {"key": "y" * 200_000})))]).count() == 2

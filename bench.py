@@ -13,8 +13,37 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = (
     "sum_estimate", "count_estimate", "sum_landmark", "max_estimate", "multi_request", "summarize_exp2", "lineitem_summary", "orders_summary",
-    "power_full_range", "exp15_full_range", "order_repair", "incremental_append", "stream_stats", "sum_full_range",
+    "power_full_range", "exp15_full_range", "order_repair", "incremental_append", "stream_stats", "sum_full_range", "power_layout",
 )
+#: Requests over windows that a store holds already.
+REQUESTS = (1, 1_500, 15_000)
+
+
+def prebuilt(spark, d: str, timed) -> dict[str, float]:
+    """Seconds of estimates by number of requests, and of planning the largest, over a store that is filled before."""
+    import random
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from ebbtide import queries as q
+    from ebbtide.sources.store import Store
+
+    store, took, rng = Store(spark, "file://" + tempfile.mkdtemp(prefix="bench-") + "/store", buckets=8), {}, random.Random(1)
+    e = q.events(spark, d)
+    store.create_streams(e)
+    store.append(e)
+    streams = [r[0] for r in e.select("stream_id").distinct().orderBy("stream_id").collect()]
+    for n in REQUESTS:
+        starts = [q.T0 + rng.randrange(10) * q.DAY for _ in range(n)]
+        rows = [(str(i), streams[i % len(streams)], t, t + 4 * q.DAY) for i, t in enumerate(starts)]
+        reqs = rows if n == 1 else spark.createDataFrame(rows, "req_id string, stream_id long, t0 long, t1 long").repartition(F.col("stream_id")).cache()
+        took[f"store_query_{n}"] = timed(lambda reqs=reqs: store.query("sum", reqs))
+        if n == REQUESTS[-1]:
+            began = time.perf_counter()
+            store.query("sum", reqs)._jdf.queryExecution().executedPlan()
+            took[f"store_query_{n}_plan"] = round(time.perf_counter() - began, 3)
+    return took
 
 
 def main() -> None:
@@ -31,13 +60,18 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     found, took = queries(), {}
-    for name in HEADLINE:
+
+    def timed(make) -> float:
         times = []
         for _ in range(runs + 1):  # the first compiles
             began = time.perf_counter()
-            found[name](spark, d).write.format("noop").mode("overwrite").save()
+            make().write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
-        took[name] = round(median(times[1:]), 3)
+        return round(median(times[1:]), 3)
+
+    for name in HEADLINE:
+        took[name] = timed(lambda name=name: found[name](spark, d))
+    took |= prebuilt(spark, d, timed)
     rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
     kept = found["lineitem_summary"](spark, d).count()
     print(json.dumps({

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.sources.store import Store
 from ebbtide.sources.versions import Versions
 
 SCHEMA = "index long, data binary"
@@ -57,3 +60,19 @@ class Log:
         if not lo <= index <= hi or not lo:
             raise ValueError(f"index {index} is out of range {lo}..{hi}")
         self.versions.replace({"log": self.records().where(kept)})
+
+
+def replay(log: Log, store: Store, decode: Callable[[DataFrame], DataFrame]) -> int:
+    """Appends to the store what the log holds beyond the last record that it has applied; the number of that record afterwards.
+
+    decode makes elements (stream_id, ts, value, seq...) of records (index, data).  The number is committed in the store's version together with
+    the elements, so a replay that is lost or repeated applies every record once.
+    """
+    applied = int(store.versions.current()[1]["meta"].get("applied", 0))
+    first, last = log.bounds()
+    if last <= applied:
+        return applied
+    if first > applied + 1:
+        raise ValueError(f"records {applied + 1} to {first - 1} are gone from the log")
+    store.append(decode(log.scan(applied + 1, last)), meta={"applied": last})
+    return last

@@ -28,8 +28,9 @@ def index_scan(windows: DataFrame, t0: int, t1: int) -> DataFrame:
     return kept.where(inside).drop("_lo", "_hi")
 
 
-def point_get(windows: DataFrame, stream_id: int, time_start: int) -> DataFrame:
-    return windows.where((F.col("stream_id") == stream_id) & (F.col("time_start") == time_start))
+def point_get(windows: DataFrame, starts: DataFrame) -> DataFrame:
+    """The windows that starts (stream_id, time_start) names, each once."""
+    return windows.join(starts.select("stream_id", "time_start").distinct(), ["stream_id", "time_start"], "left_semi")
 
 
 def delete_starts(windows: DataFrame, starts: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 The layout of a stream is a function of its length sequence and its number of elements alone: with
 one-element appends an adjacent pair of windows that spans L elements merges when the age of its
 newest element reaches the start of the first target window of length L or more.  So layouts are
-planned on the driver, never by looking at data; for base 2 they have a closed form in bit
-arithmetic, which stays inside generated code and needs no join.
+planned once for each number of elements, on the executors, never by looking at values; for base 2 they have a closed form
+in bit arithmetic, which stays inside generated code and needs no join.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ import heapq
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ebbtide.plans.sequences import MAX_LENGTH, Exponential, Sequence
 
@@ -192,28 +192,39 @@ def exp2_key(c: Column, n: Column) -> tuple[Column, Column]:
     return j, F.call_function("shiftright", age - begin(j), j)
 
 
-def layout_frame(spark: SparkSession, seq: Sequence, counts: Iterable[int], buffer: int = 0) -> DataFrame:
-    """(n, count_start, count_end) of the layouts for the given numbers of elements."""
-    schema = T.StructType([T.StructField(x, T.LongType(), False) for x in ("n", "count_start", "count_end")])
-    rows = [(n, lo, hi) for n, spans in layouts(seq, counts, buffer) for lo, hi in spans]
-    return spark.createDataFrame(rows, schema)
+def layout_frame(counts: DataFrame, seq: Sequence, buffer: int = 0) -> DataFrame:
+    """(n, count_start, count_end) of the layouts for numbers of elements (n), planned where they are.
+
+    Numbers go to tasks by range and a task plans all of its own in one run up to the largest, in time proportional to that.
+    """
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ns = [x for batch in batches for x in batch.column(0).to_pylist()]  # 8 bytes for each distinct size of a stream
+        for n, spans in layouts(seq, ns, buffer):
+            for i in range(0, len(spans), 50_000):
+                part = spans[i : i + 50_000]
+                columns = [[n] * len(part), [x[0] for x in part], [x[1] for x in part]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["n", "count_start", "count_end"])
+
+    return counts.select("n").distinct().repartitionByRange("n").mapInArrow(plan, "n long, count_start long, count_end long")
 
 
 def with_window(df: DataFrame, seq: Sequence, stream: str = "stream_id", c: str = "c", n: str = "n", gaps: bool = False, buffer: int = 0) -> tuple[DataFrame, list[str]]:
     """df with columns that together name each row's window, and those columns' names.
 
-    Base 2 takes the closed form.  Otherwise the distinct numbers of elements are planned on the driver
-    and window starts are joined by (n, count) and carried forward along the stream.  With gaps (windows
-    that were deleted) they are joined by range instead.
+    Base 2 takes the closed form.  Otherwise the layouts of the distinct numbers of elements are joined by (n, count) and
+    window starts are carried forward along the stream.  With gaps (rows need not begin where a window does) each stream gets
+    its window starts as rows of their own for the carrying, so the work is in proportion to rows and windows.
     """
     if isinstance(seq, Exponential) and seq.base == 2.0 and not buffer:
         j, m = exp2_key(F.col(c), F.col(n))
         return df.withColumns({"w_level": j, "w_place": m}), ["w_level", "w_place"]
-    counts = [r[0] for r in df.select(n).distinct().collect()]  # sizes of streams, not data
-    plan = layout_frame(df.sparkSession, seq, counts, buffer).select(F.col("n").alias("l_n"), F.col("count_start").alias("w_start"), F.col("count_end").alias("l_end"))
+    plan = layout_frame(df.select(F.col(n).alias("n")), seq, buffer).select(F.col("n").alias("l_n"), F.col("count_start").alias("l_c"))
     if gaps:
-        inside = (F.col(n) == F.col("l_n")) & F.col(c).between(F.col("w_start"), F.col("l_end"))
-        return df.join(plan, inside).drop("l_n", "l_end"), ["w_start"]
-    marked = df.join(plan.withColumnRenamed("w_start", "l_c"), (F.col(n) == F.col("l_n")) & (F.col(c) == F.col("l_c")), "left")
+        starts = df.select(stream, n).distinct().join(plan, F.col(n) == F.col("l_n")).select(stream, F.col("l_c").alias(c), F.col("l_c"))
+        both = df.withColumn("l_c", F.lit(None).cast("long")).unionByName(starts, allowMissingColumns=True)
+        carried = F.max("l_c").over(Window.partitionBy(stream).orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return both.withColumn("w_start", carried).where("l_c is null").drop("l_c"), ["w_start"]
+    marked = df.join(plan, (F.col(n) == F.col("l_n")) & (F.col(c) == F.col("l_c")), "left")
     carried = F.last("l_c", ignorenulls=True).over(Window.partitionBy(stream).orderBy(c))
-    return marked.withColumn("w_start", carried).drop("l_n", "l_c", "l_end"), ["w_start"]
+    return marked.withColumn("w_start", carried).drop("l_n", "l_c"), ["w_start"]

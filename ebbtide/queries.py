@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,9 +11,13 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import normal, stats
 from ebbtide.operators import estimate, ingest, scan, summarize
+from ebbtide.operators.log import Log, replay
+from ebbtide.plans.layout import layouts
 from ebbtide.plans.sequences import Exponential, Power
+from ebbtide.sources.shared import fresh_path
+from ebbtide.sources.store import Store
 
-#: 2024-01-10, 2024-01-24 and landmark spans of every third user, in microseconds.
+#: 2024-01-10, 2024-01-24 and landmark spans of every user, in microseconds.
 T0, T1 = 1704844800000000, 1706054400000000
 DAY = 86_400_000_000
 SPANS = ((T0 + 2 * DAY, T0 + 4 * DAY), (T0 + 10 * DAY, T0 + 11 * DAY), (T1 - DAY // 2, T1 + DAY), (T1 + 3 * DAY, T1 + 4 * DAY))
@@ -37,7 +43,7 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
-    users = events(spark, d).select("stream_id").distinct().where("stream_id % 3 = 0")
+    users = events(spark, d).select("stream_id").distinct()
     both = F.array(*[F.struct(F.lit(a).alias("time_start"), F.lit(b).alias("time_end")) for a, b in SPANS])
     return users.select("stream_id", F.inline(both))
 
@@ -108,7 +114,7 @@ def q_window_count(spark, d):
 def q_point_get(spark, d):
     w = windows(spark, d)
     first = w.groupBy("stream_id").agg(F.min("time_start").alias("time_start"))
-    return _windows_shown(w.join(first, ["stream_id", "time_start"], "left_semi"))
+    return _windows_shown(scan.point_get(w, first))
 
 
 def q_delete_window(spark, d):
@@ -245,12 +251,102 @@ def _log(spark, d):
     return e.select((F.col("event_id") + 1).alias("index"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("data"))
 
 
+def _kept(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver's Python ends."""
+    path = fresh_path(spark, name)
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
+def _written_log(spark: SparkSession, d: str) -> Log:
+    """The events as records, appended in two batches."""
+    log, rows = Log(spark, _kept(spark, "log")), _log(spark, d)
+    half = rows.count() // 2
+    log.append(rows.where(F.col("index") <= half))
+    log.append(rows.where(F.col("index") > half))
+    return Log(spark, log.versions.path)
+
+
+def _records(df: DataFrame) -> DataFrame:
+    return df.select("index", F.col("data").cast("string").alias("data"))
+
+
 def q_wal_read_range(spark, d):
-    return _log(spark, d).where("index between 101 and 700")
+    """The middle half of the log."""
+    log = _written_log(spark, d)
+    lo, hi = log.bounds()
+    return _records(log.scan(lo + (hi - lo + 1) // 4, hi - (hi - lo + 1) // 4))
 
 
 def q_wal_truncate(spark, d):
-    return _log(spark, d).where("index >= 301").where("index <= 900").select("index", "data")
+    """The log without its first and last quarter."""
+    log = _written_log(spark, d)
+    lo, hi = log.bounds()
+    log.truncate_front(lo + (hi - lo + 1) // 4)
+    log.truncate_back(hi - (hi - lo + 1) // 4)
+    return _records(Log(spark, log.versions.path).records())
+
+
+def q_log_replay(spark, d):
+    """Estimates from a store that is filled by two replays of a log."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    line = F.concat_ws("|", F.col("user_id").cast("string"), ingest.micros("ts").cast("string"), F.col("value").cast("string"), F.col("event_id").cast("string"))
+    # numbered in order of time, a day in a task
+    one = e.select(F.lit(0).cast("long").alias("stream_id"), ingest.micros("ts").alias("ts"), F.col("event_id").alias("seq0"), "value", line.alias("data"))
+    records = ingest.count_markers(one, bucket=DAY).select((F.col("c") + 1).alias("index"), "data")
+
+    def decode(rows: DataFrame) -> DataFrame:
+        parts = F.split(F.col("data").cast("string"), r"\|")
+        return rows.select(parts[0].cast("long").alias("stream_id"), parts[1].cast("long").alias("ts"), parts[2].cast("double").alias("value"), parts[3].cast("long").alias("seq0"))
+
+    log, path = Log(spark, _kept(spark, "log")), _kept(spark, "store")
+    store = Store(spark, path, buckets=8)
+    store.create_streams(events(spark, d))
+    half = records.count() // 2
+    log.append(records.where(F.col("index") <= half))
+    replay(log, store, decode)
+    log.append(records.where(F.col("index") > half))
+    replay(log, Store(spark, path), decode)
+    replay(log, Store(spark, path), decode)  # nothing is left to apply
+    return _shown(Store(spark, path).query("sum", reqs(spark, d)))
+
+
+def q_store_append_query(spark, d):
+    """Append, reopen, append, query: what comes before T0 + 7 days first, then the rest."""
+    path, e = _kept(spark, "store"), events(spark, d)
+    store = Store(spark, path, buckets=8)
+    store.create_streams(e)
+    store.append(e.where(F.col("ts") < T0 + 7 * DAY))
+    store.close()
+    Store(spark, path).append(e.where(F.col("ts") >= T0 + 7 * DAY))
+    return _shown(Store(spark, path).query("sum", reqs(spark, d)))
+
+
+def q_store_landmarks(spark, d):
+    """The windows of a store whose elements came with landmark spans, and estimates with what the landmarks hold."""
+    path, e = _kept(spark, "store"), events(spark, d)
+    store = Store(spark, path, buckets=8)
+    store.create_streams(e)
+    store.append(e, spans(spark, d))
+    return _shown(Store(spark, path).query("sum", reqs(spark, d)))
+
+
+def q_store_windows(spark, d):
+    """All windows of a store of another schedule, after two appends."""
+    path, e = _kept(spark, "store"), events(spark, d)
+    store = Store(spark, path, buckets=8)
+    store.create_streams(e, POWER)
+    store.append(e.where(F.col("ts") < T0 + 7 * DAY))
+    store.append(e.where(F.col("ts") >= T0 + 7 * DAY))
+    return summarize.window_sizes(Store(spark, path).windows())
 
 
 def q_incremental_append(spark, d):
@@ -282,7 +378,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # -- the same in SQL -------------------------------------------------------------------------------
 
 _E = "e AS (SELECT user_id AS stream_id, event_id, epoch_us(ts) AS ts, value FROM events)"
-_SPANS = "sp AS (SELECT stream_id, a AS time_start, b AS time_end FROM (SELECT DISTINCT stream_id FROM e WHERE stream_id % 3 = 0), (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT)" for a, b in SPANS) + ") v(a, b))"
+_SPANS = "sp AS (SELECT stream_id, a AS time_start, b AS time_end FROM (SELECT DISTINCT stream_id FROM e), (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT)" for a, b in SPANS) + ") v(a, b))"
 _REST = "rest AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.stream_id = e.stream_id AND e.ts BETWEEN sp.time_start AND sp.time_end))"
 
 
@@ -336,12 +432,40 @@ def _full_sql(value: str, error: str = "0.0") -> str:
     return f"SELECT user_id AS stream_id, round({value}, 4) AS value, {error}::DOUBLE AS error FROM events GROUP BY user_id"
 
 
+def _layout_sql(seq, buffer: int = 0, most: int = 400) -> str:
+    """Sizes of the windows for streams of up to `most` elements, as the planner (held to golden tables in the tests) has them."""
+    sizes = {n: " ".join(str(b - a + 1) for a, b in spans) for n, spans in layouts(seq, range(1, most + 1), buffer)}
+    rows = ", ".join(f"({n}, '{x}')" for n, x in sizes.items())
+    return (
+        f"WITH l(n, sizes) AS (VALUES {rows}), s AS (SELECT user_id AS stream_id, count(*) n FROM events GROUP BY user_id) "
+        "SELECT stream_id, len(string_split(sizes, ' ')) AS n_windows, sizes FROM s JOIN l USING (n)"
+    )
+
+
+def _horner(coefficients: tuple[float, ...], x: str) -> str:
+    text = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r}::DOUBLE)"
+    return text
+
+
+def _cdf_sql() -> str:
+    small, middle, large = (
+        f"({_horner(p, x)} / {_horner(q, x)})" for (p, q), x in ((normal.SMALL, "(v * v)"), (normal.MIDDLE, "y"), (normal.LARGE, "(1 / (y * y))"))
+    )
+    far = f"exp(-y * y) * ({1 / math.sqrt(math.pi)!r}::DOUBLE - {large} / (y * y)) / y"
+    return f"""WITH z AS (SELECT event_id, (value - 50.0) / {25.0 * math.sqrt(2)!r}::DOUBLE v FROM events), a AS (SELECT *, abs(v) y FROM z),
+ u AS (SELECT *, CASE WHEN y <= 4 THEN exp(-y * y) * {middle} WHEN y < 27 THEN {far} ELSE 0 END upper FROM a)
+SELECT event_id, round(CASE WHEN y <= 0.46875 THEN 0.5 + v * {small} / 2 WHEN v < 0 THEN upper / 2 ELSE 1 - upper / 2 END, 10) AS p FROM u"""
+
+
 def oracle_sql() -> dict[str, str]:
     markers = f"WITH {_E} SELECT stream_id, event_id, ts, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) - 1 AS c, count(*) OVER (PARTITION BY stream_id) AS n FROM e"
     landmark_max = f"{_WL}, q AS (SELECT DISTINCT stream_id FROM e), a AS (SELECT stream_id, max(mx) m FROM w WHERE time_end >= {T0} AND time_start <= {T1} GROUP BY 1), b AS (SELECT stream_id, max(value) m FROM lm WHERE ts BETWEEN {T0} AND {T1} GROUP BY 1) SELECT stream_id, round(coalesce(greatest(a.m, b.m), -1.7976931348623157e308), 4) AS value, CASE WHEN b.m IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS error, true AS is_upper_bound FROM q LEFT JOIN a USING (stream_id) LEFT JOIN b USING (stream_id)"
     many = f"SELECT stream_id || '/' || k req_id, stream_id, {T0} + k * {DAY}::BIGINT t0, {T0} + k * {DAY}::BIGINT + 4 * {DAY}::BIGINT t1 FROM (SELECT DISTINCT stream_id FROM e), range(10) r(k)"
     landmark_scan = (T0 + 3 * DAY, T0 + 5 * DAY)
     logs = "SELECT event_id + 1 AS index, user_id || '|' || event_type AS data FROM events"
+    middle = f"SELECT index, data FROM ({logs}), (SELECT count(*) // 4 AS q, count(*) AS n FROM events) WHERE index BETWEEN 1 + q AND n - q"
     moment = lambda x: f"coalesce(avg({x}), 0)"
     sql = {
         "sum_estimate": _estimate_sql(_W, "sm"),
@@ -377,8 +501,16 @@ def oracle_sql() -> dict[str, str]:
         "interval_stats": f"WITH {_E}, g AS (SELECT stream_id, ((ts // 1000000) - lag(ts // 1000000) OVER (PARTITION BY stream_id ORDER BY ts, event_id))::DOUBLE gap FROM e) SELECT stream_id, round({moment('gap')}, 1) AS interval_mean, round(coalesce(var_pop(gap), 0), 1) AS interval_var, round(coalesce(var_samp(gap), 0), 1) AS interval_sample_var, round(coalesce(stddev_samp(gap), 0), 1) AS interval_sd, round(coalesce(stddev_samp(gap) / avg(gap), 0), 4) AS interval_cv FROM g GROUP BY stream_id",
         "normal_pdf": "SELECT event_id, round(exp(-((value - 50.0) / 25.0) * ((value - 50.0) / 25.0) / 2) / (25.0 * sqrt(2 * pi())), 10) AS density FROM events",
         "multi_request": _estimate_sql(_W, "cnt", reqs=many, cols="req_id, round(mean, 4) + 0.0 AS value, round(hi - lo, 4) + 0.0 AS error, round(lower, 4) + 0.0 AS lower, round(upper, 4) + 0.0 AS upper, round(var, 4) + 0.0 AS var"),
-        "wal_read_range": f"SELECT * FROM ({logs}) WHERE index BETWEEN 101 AND 700",
-        "wal_truncate": f"SELECT * FROM ({logs}) WHERE index BETWEEN 301 AND 900",
+        "wal_read_range": middle,
+        "wal_truncate": middle,
+        "log_replay": _estimate_sql(_W, "sm"),
+        "store_append_query": _estimate_sql(_W, "sm"),
+        "store_landmarks": _estimate_sql(_WL, "sm", mark="value"),
+        "store_windows": _layout_sql(POWER),
+        "power_layout": _layout_sql(POWER),
+        "exp15_layout": _layout_sql(EXP15),
+        "buffered_layout": _layout_sql(Exponential(2.0), 32),
+        "normal_cdf": _cdf_sql(),
         "lineitem_summary": "WITH e AS (SELECT l_suppkey AS stream_id, epoch_us(l_shipdate) AS ts, l_quantity AS value, * FROM lineitem)," + _windows_sql("e", "ts, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus") + f" SELECT {_SHOW} FROM w",
         "orders_summary": "WITH e AS (SELECT o_custkey AS stream_id, epoch_us(o_orderdate) AS ts, o_totalprice AS value, o_orderkey FROM orders)," + _windows_sql("e", "ts, o_orderkey, value") + f" SELECT {_SHOW} FROM w",
     }

@@ -137,7 +137,7 @@ def test_scans(spark):
     five = spark.createDataFrame([(1, 5 * i, 5 * i + 4, i, i, 1.0, 2.0 * i + 1, 2.0 * i + 1) for i in range(5)], WINDOW)
     r = summarize.merge_windows(scan.range_scan(five, 1, 23), ["stream_id"]).first()
     assert (r.time_end, r["count"], r["max"], r["sum"]) == (24, 5, 9, 25)
-    assert scan.point_get(w, 1, 10).count() == 1 and scan.window_count(w).first().n_windows == 5
+    assert scan.point_get(w, w.where("stream_id = 1 and time_start = 10")).count() == 1 and scan.window_count(w).first().n_windows == 5
 
 
 def test_order_repair(spark):

@@ -33,7 +33,7 @@ def test_query_against_sql(spark, con, name):
 
 
 def test_only_what_sql_cannot_say_is_without():
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"power_layout", "exp15_layout", "buffered_layout", "normal_cdf"}
+    assert set(queries.queries()) - set(queries.oracle_sql()) == set()
 
 
 def test_entry_without_the_other_package(spark):

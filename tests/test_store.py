@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators.log import Log
+from ebbtide.operators.log import Log, replay
+from ebbtide.plans.layout import layouts
 from ebbtide.plans.sequences import Exponential, Power
 from ebbtide.sources import readers
-from ebbtide.sources.store import SummaryStore
+from ebbtide.sources.store import Store
 from ebbtide.streaming import ingest as live
 
 
@@ -18,25 +19,25 @@ def ask(store, op, t0=0, t1=99, stream=0):
 
 def test_append_reopen_append(spark, tmp_path):
     path = f"file://{tmp_path}/s"
-    store = SummaryStore(spark, path)
+    store = Store(spark, path)
     assert store.create_streams() == [0]
     store.append(rows(spark, 0, 50))
     assert (ask(store, "count").value, ask(store, "sum").value) == (50, 1225)
     store.close()
     with pytest.raises(RuntimeError):
         store.append(rows(spark, 50, 51))
-    store = SummaryStore(spark, path)
+    store = Store(spark, path)
     store.append(rows(spark, 50, 100))
     assert (ask(store, "count").value, ask(store, "sum").value, ask(store, "sum").error) == (100, 4950, 0)
     assert store.windows().count() == 9
     assert store.create_streams(n=2) == [1, 2]
     assert store.stream(1)["sequence"] == Exponential(2.0)
     store.versions.vacuum()
-    assert ask(SummaryStore(spark, path), "max").value == 99
+    assert ask(Store(spark, path), "max").value == 99
 
 
 def test_landmarks(spark, tmp_path):
-    store = SummaryStore(spark, f"file://{tmp_path}/s")
+    store = Store(spark, f"file://{tmp_path}/s")
     store.create_streams([0])
     store.append(rows(spark, 0, 90))
     store.start_landmark(0, 90)
@@ -53,7 +54,7 @@ def test_landmarks(spark, tmp_path):
 
 
 def test_kinds_of_streams_and_errors(spark, tmp_path):
-    store = SummaryStore(spark, f"file://{tmp_path}/s")
+    store = Store(spark, f"file://{tmp_path}/s")
     store.create_streams([5])
     store.create_streams([7], Power(1, 1, 4, 1))
     store.append(rows(spark, 0, 22, 5).union(rows(spark, 0, 22, 7)))
@@ -68,10 +69,50 @@ def test_kinds_of_streams_and_errors(spark, tmp_path):
     assert spark.sql("SELECT count(*) FROM s_windows WHERE stream_id = 7").first()[0] == 13
 
 
+def test_only_touched_parts_are_written(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store = Store(spark, path, buckets=4)
+    store.create_streams(range(12), Power(1, 1, 4, 1))
+    everything = rows(spark, 0, 30, 0)
+    for s in range(1, 12):
+        everything = everything.union(rows(spark, 0, 30, s))
+    store.append(everything)
+    before = store.versions.current()[1]["tables"]
+    store = Store(spark, path)
+    assert store.buckets == 4
+    store.append(rows(spark, 30, 45, 3), spark.createDataFrame([(3, 33, 36)], "stream_id long, time_start long, time_end long"))
+    after = store.versions.current()[1]["tables"]
+    assert sum(before[k] != after[k] for k in before if k.startswith("windows#")) == 1
+    store.versions.vacuum()
+    assert {s: ask(store, "count", stream=s).value for s in (0, 3, 11)} == {0: 30, 3: 45, 11: 30}
+    got = [r[0] for r in store.windows().where("stream_id = 3").orderBy("count_start").select(F.col("count_end") - F.col("count_start") + 1).collect()]
+    want = [b - a + 1 for a, b in dict(layouts(Power(1, 1, 4, 1), [41]))[41]]
+    assert got == want
+    store.append(rows(spark, 0, 0, 0), meta={"seen": 1})
+    assert store.versions.current()[1]["meta"] == {"buckets": 4, "seen": 1}
+
+
+def test_replay_applies_every_record_once(spark, tmp_path):
+    log, store = Log(spark, f"file://{tmp_path}/log"), Store(spark, f"file://{tmp_path}/s", buckets=2)
+    store.create_streams([0])
+    batch = lambda a, b: spark.createDataFrame([(i, str(i).encode()) for i in range(a, b)], "index long, data binary")
+    decode = lambda r: r.select(F.lit(0).cast("long").alias("stream_id"), F.col("index").alias("ts"), F.col("data").cast("string").cast("double").alias("value"))
+    assert replay(log, store, decode) == 0
+    log.append(batch(1, 11))
+    assert replay(log, store, decode) == replay(log, Store(spark, f"file://{tmp_path}/s"), decode) == 10
+    log.append(batch(11, 21))
+    log.truncate_front(5)
+    assert replay(log, store, decode) == 20 and (ask(store, "count").value, ask(store, "sum").value) == (20, 210)
+    log.append(batch(21, 31))
+    log.truncate_front(25)
+    with pytest.raises(ValueError):
+        replay(log, store, decode)
+
+
 def test_stream_without_data(spark, tmp_path):
     path = f"file://{tmp_path}/s"
-    SummaryStore(spark, path).create_streams([3])
-    assert ask(SummaryStore(spark, path), "sum", stream=3).value == 0
+    Store(spark, path).create_streams([3])
+    assert ask(Store(spark, path), "sum", stream=3).value == 0
 
 
 def test_log(spark, tmp_path):

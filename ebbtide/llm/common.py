@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import atexit
 import math
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -15,32 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none, a temporary folder serves a master that is local, so one machine; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            root = "file://" + tempfile.mkdtemp(prefix="ebbtide-")
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
+from ebbtide.sources.shared import fresh_path
 
 _scopes: list[list[str]] = []
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, scoped: bool = True) -> str:
     """A fresh path in the shared folder, removed at the end of the scratch_scope() it is made in, or when the driver's Python ends."""
-    path = f"{scratch_root(spark)}/ebbtide/{name}-{uuid.uuid4().hex}"
-    if _scopes:
+    path = fresh_path(spark, name)
+    if _scopes and scoped:
         _scopes[-1].append(path)
     else:
         atexit.register(remove, spark, path)
@@ -67,11 +47,11 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str, mode_codec: str = "zstd") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there."""
+def materialise(df: DataFrame, name: str, scoped: bool = True) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there. What isn't scoped outlives the scratch_scope()."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", mode_codec).parquet(path)
+    path = scratch_path(spark, name, scoped)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

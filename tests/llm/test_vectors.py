@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from ebbtide.llm import vectors
+from ebbtide.llm import queries, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -63,3 +63,18 @@ def test_recall_and_odd_tables(spark):
 
 def test_plan_follows_the_label():
     assert vectors.plan(10, 0.93, 1e-3)[0] < vectors.plan(10**6, 0.93, 1e-3)[0] and vectors.plan(0, 0.93, 1e-3)[1] >= 1
+
+
+@pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op7_embedding_near_dedup", "op8_substring_dedup"])
+def test_same_rows_in_any_number_of_partitions(spark, name):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = []
+        for n in (1, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows.append(sorted(map(str, queries.queries()[name](spark, "/root/testdata/sf0.001").collect())))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert rows[0] == rows[1] and rows[0]

@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; rows with a null doc_id stay."""
-    return minhash.without_copies(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id; rows with a null doc_id stay."""
+    return minhash.without_copies(docs, words=5, num=80, den=100)
 
 
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with common.scratch_scope(spark):  # what a stage writes for itself goes with it
+            made = stage(spark, docs, sf_dir)
+            docs = common.materialise(made, "stage-" + name.replace(" ", "-"), scoped=False)
         if before is not None:
             common.drop_scratch(before)
         before = docs

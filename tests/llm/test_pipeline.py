@@ -105,7 +105,7 @@ def test_stages_are_the_operators_whole(spark):
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     scores = quality.score(docs, spark.read.parquet(f"{d}/labels.parquet"))
     assert ids(pipeline.good_quality(spark, docs, d)) == ids(scores.where("predicted = 1"))
-    assert ids(pipeline.distinct_documents(spark, docs, d)) == ids(minhash.near_duplicates(docs).where("kept"))
+    assert ids(pipeline.distinct_documents(spark, docs, d)) == ids(minhash.near_duplicates(docs, words=5, num=80, den=100).where("kept"))
     assert ids(pipeline.without_benchmark(spark, docs, d)) == ids(docs) - ids(leaks.leaks(docs, spark.read.parquet(f"{d}/benchmark.parquet")))
     spans = passages.repeated(docs).where("not kept").select("doc_id").distinct()
     before = {r.doc_id: r.text for r in docs.collect()}

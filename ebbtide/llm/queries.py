@@ -72,7 +72,8 @@ def tool_dialogue(conversations: DataFrame) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = spark.createDataFrame(TOOLS, "name string, parameter string, type string, required boolean")
+    values = ", ".join(f"('{name}', '{parameter}', '{kind}', {str(required).lower()})" for name, parameter, kind, required in TOOLS)
+    schemas = spark.sql(f"SELECT * FROM VALUES {values} AS t(name, parameter, type, required)")  # no Python rows
     rows = chats.formatted(tool_dialogue(_table(spark, sf_dir, "conversations")), schemas)
     return rows.withColumn("problems", F.array_join("problems", ","))
 

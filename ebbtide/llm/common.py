@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ebbtide.sources.shared import fresh_path
 
+#: Edges whose components one task finds, in some 100 MB.
+ONE_TASK = 1_000_000
+
 _scopes: list[list[str]] = []
 
 
@@ -67,12 +70,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Large-star and small-star rounds in turn: each is a grouped minimum (combined map-side, so a
     node with very many neighbours costs no more than any other) and an equi-join that AQE may split.
-    Every round is written to the shared folder; only two numbers reach the driver.  Edges with a
+    Every round is written to the shared folder; only two numbers reach the driver.  Once no more than ONE_TASK
+    edges are left, one task does the rest instead: each round costs the driver several plans.  Edges with a
     null end and self loops are ignored; an empty table gives an empty table.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
     e, before = materialise(e, "cc"), None
+    left = e.count()
     for _ in range(max_rounds):
+        if left <= ONE_TASK:
+            kind = e.schema["u"].dataType.simpleString()
+            done = materialise(e.coalesce(1).mapInArrow(settled, f"node {kind}, component {kind}"), "cc")
+            drop_scratch(e)
+            return done
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -84,7 +94,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         e = new
         if now == before:
             break
-        before = now
+        before, left = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -92,6 +102,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     )
 
 
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (u, v) to (node, component): roots are hung on their smallest neighbour, and chains cut short, until no edge joins two roots."""
+    ends = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if not ends:
+        return
+    u, v = (np.concatenate(x) for x in zip(*ends))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, root = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while len(u):
+        u, v = np.maximum(root[u], root[v]), np.minimum(root[u], root[v])
+        apart = u != v
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, u, v)
+        while (root[root] != root).any():
+            root = root[root]
+    for i in range(0, len(ids), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(ids[root[i : i + 100_000]])], names=["node", "component"])
+
+
 def blocks(df: DataFrame, key: Sequence[str], weight: str, limit: int) -> DataFrame:
     """df with nb: into how many blocks its group (same key) goes, ceil(sum of weights / limit)."""
     total = df.groupBy(*key).agg(F.greatest(F.ceil(F.sum(weight) / F.lit(float(limit))), F.lit(1)).cast("int").alias("nb"))

@@ -128,6 +128,23 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("one_task", [10**6, 150, 0])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 2000 + i) for i in range(1, 40)]
+    before, context = spark.createDataFrame(edges, "a long, b long"), spark.sparkContext
+    context.setJobGroup(f"components {one_task}", "")
+    try:
+        got = {r.node: r.component for r in common.connected_components(before).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup(f"components {one_task}"))
+    finally:
+        context._jsc.clearJobGroup()
+    real = {(a, b) for a, b in edges if a != b}
+    assert got == components({x for e in real for x in e}, lambda a, b: (a, b) in real or (b, a) in real)
+    assert one_task < len(edges) or jobs <= 8  # few edges don't cost the driver a plan for every round
+
+
 def test_block_pairs_bring_all_rows_together(spark):
     df = spark.createDataFrame([(k, i, 1) for k in (1, 2) for i in range(100 if k == 1 else 3)], "k long, i long, one int")
     groups = collections.defaultdict(set)

@@ -41,22 +41,33 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, found: [(key, pos)]) to (key, id, pos, win); win has, for each o under LEFT, a 64-bit hash of the `least` words that begin o words before the place, 0 where the text has fewer."""
+    """(id, text, found: [(key, pos, heavy)]) to (key, id, pos, win, one); win has, for each o under LEFT, a 64-bit hash of the `least` words that begin o words before the place, 0 where the text has fewer.
+
+    A place of a heavy key gives a row for each such window instead: one is its hash, pos its first word, and win is null.
+    """
+    names = ["key", "id", "pos", "win", "one"]
     for batch in batches:
         for lo, hi, text in flat.chunks(batch.column(1)):
             h, _, _, woff = flat.words(*flat.span(text))
             g = np.append(np.maximum(flat.ngrams(h, least), np.uint64(1)), np.uint64(0))
             found = batch.column(2).slice(lo, hi - lo)
             item = found.flatten()
-            key, pos = item.field(0).to_numpy(), item.field(1).to_numpy().astype(np.int64)
+            keys, pos = item.field(0).to_numpy(), item.field(1).to_numpy().astype(np.int64)
+            weighs = item.field(2).to_numpy(zero_copy_only=False)
             n = np.diff(np.asarray(found.offsets))
             doc = np.repeat(np.arange(hi - lo), n)
-            for i in range(0, len(key), 20_000):
-                d, p = doc[i : i + 20_000], pos[i : i + 20_000]
+            for i in range(0, len(keys), 20_000):
+                d, p, key, heavy = (x[i : i + 20_000] for x in (doc, pos, keys, weighs))
                 x = (woff[d] + p)[:, None] - np.arange(LEFT)
                 win = g[np.where((x >= woff[d][:, None]) & (x + least <= woff[d + 1][:, None]), x, len(g) - 1)]
                 ids = batch.column(0).to_numpy()[lo:hi][d]
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 20_000]), pa.array(ids), pa.array(p.astype(np.int32)), _binary(win)], names=["key", "id", "pos", "win"])
+                if not heavy.all():
+                    r = ~heavy
+                    yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(ids[r]), pa.array(p[r].astype(np.int32)), _binary(win[r]), pa.nulls(int(r.sum()), pa.int64())], names=names)
+                r, o = np.nonzero(win * heavy[:, None])
+                for j in range(0, len(r), 100_000):
+                    rj, oj = r[j : j + 100_000], o[j : j + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[rj]), pa.array(ids[rj]), pa.array((p[rj] - oj).astype(np.int32)), pa.nulls(len(rj), pa.binary()), pa.array(win[rj, oj].view(np.int64))], names=names)
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -104,17 +115,6 @@ def matches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(m, axis=1)], names=["id", "start", "end", "other"])
 
 
-def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, pos, win) to a row (key, win, id, start) for each window."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 5_000):
-            part = batch.slice(i, 5_000)
-            win = _wide(part.column(3))
-            r, o = np.nonzero(win)
-            key, ids, pos = (part.column(c).to_numpy()[r] for c in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(win[r, o].view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int64) - o)], names=["key", "win", "id", "start"])
-
-
 def repeated(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end, n_words, other_doc_id): maximal runs of words that another document holds too.
 
@@ -132,21 +132,23 @@ def repeated(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str
     same = common.materialise(same, "suffix-same")
     whole = same.where("copies > 1")
 
-    rows = common.materialise(two.mapInArrow(places, "key long, id long, pos int"), "suffix-places")
+    every = common.materialise(two.mapInArrow(places, "key long, id long, pos int"), "suffix-places")
     reps = same.select(F.col("rep").alias("id")).distinct()
-    rows = rows.join(reps, "id", "left_semi")
+    rows = common.materialise(every.join(reps, "id", "left_semi"), "suffix-reps")
+    common.drop_scratch(every)
     many = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     many = common.materialise(many.select("key", (F.col("n") > HOLD).alias("heavy")), "suffix-keys")
 
-    def around(keys: DataFrame) -> DataFrame:
-        cand = rows.join(keys.select("key"), "key").groupBy("id").agg(F.collect_set(F.struct("key", "pos")).alias("found"))
-        return two.join(cand, "id").mapInArrow(lambda it: contexts(it, least), "key long, id long, pos int, win binary")
-
-    light = common.clustered(around(many.where("not heavy")), ["key"])
+    cand = rows.join(many, "key").groupBy("id").agg(F.collect_set(F.struct("key", "pos", "heavy")).alias("found"))
+    around = two.join(cand, "id").mapInArrow(lambda it: contexts(it, least), "key long, id long, pos int, win binary, one long")
+    heavy = many.where("heavy").limit(1).count()
+    if heavy:
+        around = common.materialise(around, "suffix-around")  # read for either kind of key: texts move once
+    light = common.clustered(around.where("one is null").select("key", "id", "pos", "win"), ["key"])
     hits = light.mapInArrow(lambda it: matches(it, least), "id long, start long, end long, other long")
-    if many.where("heavy").limit(1).count():
+    if heavy:
         # too many rows for one task: each window is a group of its own, of which only two numbers are asked
-        rest = common.materialise(around(many.where("heavy")).mapInArrow(single, "key long, win long, id long, start long"), "suffix-heavy")
+        rest = around.where("one is not null").select("key", F.col("one").alias("win"), "id", F.col("pos").cast("long").alias("start"))
         met = rest.groupBy("key", "win").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
         other = F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
         hits = hits.unionByName(rest.join(met, ["key", "win"]).select("id", "start", (F.col("start") + least).alias("end"), other))

@@ -290,6 +290,22 @@ def test_suffixes_in_many_partitions(spark, monkeypatch, hold):
     assert dict(got) == coverage(rows)
 
 
+def test_suffixes_move_texts_once(spark, monkeypatch):
+    """Light and heavy anchors in one table: one pass over the texts makes the windows of both."""
+    rng, plans, materialise = random.Random(13), [], common.materialise
+    hot, two = (prose(rng, 60, 10**6) for _ in range(2))
+    rows = [(i, " ".join([prose(rng, 35, 10**6), hot if i < 6 else two, prose(rng, 35, 10**6)]), "en", "s") for i in range(8)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(suffixes, "HOLD", 3)
+    monkeypatch.setattr(common, "materialise", lambda df, *a, **k: plans.append(plan(df)) or materialise(df, *a, **k))
+    out = suffixes.repeated(make(spark, rows))
+    got = collections.defaultdict(set)
+    for r in out.collect():
+        got[r.doc_id].update(range(r.start, r.end))
+    assert dict(got) == coverage(rows) and len(got) == 8
+    assert sum(len(re.findall(r"MapInArrow [^\n]*found#", p)) for p in [*plans, plan(out)]) == 1
+
+
 # -- passages ---------------------------------------------------------------------------------------
 
 
